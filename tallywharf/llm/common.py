@@ -76,3 +76,40 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"tallywharf/{f.relative_to(top)}")
     sc.addPyFile(to)
     sc._tallywharf_shipped = True
+
+
+#: Text bytes that a Python function gets at once.
+PART_BYTES = 8_000_000
+
+
+def arrow_map(df: DataFrame, one, schema: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """mapInArrow with `one`: record batch -> dict of columns; batches are cut to about `part_bytes` first.
+
+    A single long value is never cut, so a batch has at least one row.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    ship(df.sparkSession)
+    names = to_arrow_schema(_parse_datatype_string(schema)).names
+    types = {f.name: f.type for f in to_arrow_schema(_parse_datatype_string(schema))}
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            step = max(1, int(rows * part_bytes / max(batch.nbytes, 1)))
+            for lo in range(0, rows, step):
+                got = one(batch.slice(lo, step))
+                yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], types[n]) for n in names], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer file; only the default of a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

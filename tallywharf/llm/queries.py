@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .bpe import encode_digests
+from .common import table, tokenizer_file
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .packing import pack_documents
+
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +19,23 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, min_docs=10, min_chars=1).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_bpe_codec": op4_bpe_codec,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 SQL = {
