@@ -26,8 +26,12 @@ def whole_text(col: str = "text") -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z lower-cased, everything else untouched; pure-ASCII values take the fast path."""
-    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+    """A-Z lower-cased, everything else untouched.
+
+    Values of ASCII and of Latin-1 letters that are lower case already take the fast path, where lower() changes nothing else.
+    """
+    plain = (F.octet_length(c) == F.char_length(c)) | ~c.rlike("[^\\x00-\\x7Fß-öø-ÿ]")
+    return F.when(plain, F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -3,7 +3,7 @@
 Lines are exploded as hashes of their normalised keys, distinct documents (rows) per hash are counted with
 map-side partial sums, and lines whose key reaches the threshold are dropped from every document; the rest
 is reassembled by position. Only hashes and positions are exploded, never the lines themselves: the text
-moves once, to meet the positions to drop. Keys are named by 128 bits, so a collision is out of reach.
+moves once, to meet the positions to drop. Keys and texts are named by their MD5.
 
 Defined results: each input row is a document (repeated rows count as often as they occur); null or empty
 text is one empty line; keys shorter than `min_chars` never go; a text that loses all lines becomes empty;
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, whole_text
+from .common import BLANKS, ascii_lower, whole_text, written
 
 
 def lines_of(text: Column) -> Column:
@@ -23,38 +23,41 @@ def lines_of(text: Column) -> Column:
 
 
 def key_of(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
+    edges = F.concat(F.substring(line, 1, 1), F.substring(line, -1, 1))
+    return ascii_lower(F.when(F.length(F.translate(edges, BLANKS, "")) < F.length(edges), F.btrim(line, F.lit(BLANKS))).otherwise(line))
 
 
 def key_hashes(text: Column, min_chars: int) -> Column:
-    """For each line the 128-bit hash of its key, null for keys too short to count."""
+    """For each line the MD5 of its key, null for keys too short to count."""
 
     def one(line: Column) -> Column:
         k = key_of(line)
-        return F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b")))
+        return F.when(F.char_length(k) >= min_chars, F.md5(k))
 
     return F.transform(lines_of(text), one)
 
 
+def reassembled(lines: Column, gone: Column) -> Column:
+    """The lines outside the positions `gone`, joined: the runs between dropped lines, each taken once."""
+    ends = F.concat(F.array_sort(gone), F.array(F.size(lines)))
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get(ends, F.greatest(i - 1, F.lit(0))))
+    runs = F.transform(ends, lambda e, i: F.slice(lines, before(i) + 2, e - before(i) - 1))
+    return F.array_join(F.when(gone.isNull(), lines).otherwise(F.flatten(runs)), "\n")
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text") -> DataFrame:
     """The rows of `docs` with `text_col` reduced to its kept lines, plus `_n_lines` and `_n_dropped`."""
-    key = [F.xxhash64(F.lit(2), whole_text(text_col)).alias("_ka"), F.xxhash64(F.lit(3), whole_text(text_col)).alias("_kb")]
-    hashed = docs.select(*key, key_hashes(whole_text(text_col), min_chars).alias("hs"))
-    often = (
-        hashed.select(F.explode(F.array_distinct(F.filter("hs", lambda h: h.isNotNull()))).alias("h"))
-        .groupBy("h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
-    )
-    gone = (
-        hashed.select("_ka", "_kb", F.posexplode("hs").alias("pos", "h"))
-        .filter(F.col("h").isNotNull())
-        .select("_ka", "_kb", "pos", "h.a", "h.b")
-        .join(often, ["a", "b"])
-        .groupBy("_ka", "_kb").agg(F.collect_set("pos").alias("_gone"))
-    )
-    held = docs.select("*", *key).join(gone, ["_ka", "_kb"], "left").withColumn("_lines", lines_of(whole_text(text_col)))
-    left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)))
+    text = whole_text(text_col)
+    key = F.md5(text).alias("_key")
+    by_hash = docs.select(key, key_hashes(text, min_chars).alias("hs")).select("_key", F.array_sort(F.transform("hs", lambda h, i: F.struct(h.alias("h"), i.alias("pos")))).alias("m"))
+    first = lambda x, i: F.struct(x.h.alias("h"), x.pos.alias("pos"), ((i == 0) | ~x.h.eqNullSafe(F.get("m", F.greatest(i - 1, F.lit(0)))["h"])).alias("first"))
+    # explode_outer: explode() would put a filter below itself and work out the hashes twice. Written once, read by count and reassembly.
+    lines = written(by_hash.select("_key", F.explode_outer(F.transform("m", first)).alias("x")).select("_key", "x.h", "x.pos", "x.first").filter(F.col("h").isNotNull()), "lines")
+    often = lines.filter("first").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h")
+    gone = lines.select("_key", "h", "pos").join(often, "h", "left_semi").groupBy("_key").agg(F.collect_set("pos").alias("_gone"))
+    held = docs.select("*", key).join(gone, "_key", "left").withColumn("_lines", lines_of(text))
     return held.select(
-        *[F.array_join(left, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[reassembled(F.col("_lines"), F.col("_gone")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.size("_lines").cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_n_dropped"),
     )
