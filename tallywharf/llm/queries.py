@@ -11,6 +11,7 @@ from .chat import format_conversations, read_back
 from .common import table, tokenizer_file
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .near_dedup import near_groups
 from .packing import pack_documents
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -37,6 +38,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_topk_search": op3_topk_search,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_license_scan": op5_license_scan,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_crf": op7_quality_crf,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
