@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, whole_text
 
 SAMPLE, SAMPLE_BYTES, MEASURED_BYTES = 4000, 24_000_000, 4_000_000
+#: Bytes of text that a worker measures at once; about forty times as many are in use meanwhile.
+SCORED_BYTES = 1_500_000
 FOLDS, THRESHOLD = 5, 0.3
 STEPS = 150
 
@@ -220,4 +222,4 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": score, "predicted": (score >= threshold).astype(np.int32)}
 
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(fold(id_col) == 0, F.lit(False)), whole_text(text_col))
-    return arrow_map(rows, one, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_map(rows, one, "doc_id long, held_out boolean, score double, predicted int", SCORED_BYTES)
