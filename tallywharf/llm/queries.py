@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .near_dedup import near_groups
 from .packing import pack_documents
+from .substring_dedup import dedup_substrings
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -55,6 +56,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    n_removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", (F.octet_length("_kept") + n_removed).alias("n_bytes"), n_removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +74,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_crf": op7_quality_crf,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
