@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Cuts the lineage: the rows go to a Parquet table in the shared folder and are read from there.
+def on_disk(df: DataFrame) -> DataFrame:
+    """Keeps rows that are read several times on the executors' disks. The lineage stays: what a lost executor held is worked out again.
+
+    They are let go with the session, or by spark.catalog.clearCache(), since lazy results may still read them.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def written(df: DataFrame, label: str = "cut", files: int | None = None) -> DataFrame:
+    """Cuts the lineage, for loops and between stages: the rows go to a Parquet table in the shared folder and are read from there.
 
     The table lives until the application ends, since lazy results may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallywharf/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -96,6 +105,7 @@ def arrow_map(df: DataFrame, one, schema: str, part_bytes: int = PART_BYTES) ->
     from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     names = to_arrow_schema(_parse_datatype_string(schema)).names
     types = {f.name: f.type for f in to_arrow_schema(_parse_datatype_string(schema))}
 
@@ -112,6 +122,13 @@ def arrow_map(df: DataFrame, one, schema: str, part_bytes: int = PART_BYTES) ->
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Spark's own Arrow batches, where the session has the default of 64 MB: a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, PART_BYTES)
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer file; only the default of a parameter."""
     import public_tokenizers

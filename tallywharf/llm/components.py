@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import on_disk, written
+
+#: Links in a file of a turn's table.
+FILE_ROWS = 2_000_000
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -28,15 +31,23 @@ def state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges as a written table, which ends their lineage, and their state."""
+    rows = on_disk(edges.distinct())
+    now = state(rows)
+    out = written(rows, "edges", now[0] // FILE_ROWS + 1)
+    rows.unpersist()
+    return out, now
+
+
 def components(links: DataFrame, turns: int = 60) -> DataFrame:
     """links: a, b. Rows (node, comp) with the smallest node of each component, for all nodes but those smallest."""
-    edges = written(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    now = state(edges)
+    edges, now = settled(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(turns):
         if not now[0]:
             break
-        edges = written(small_star(large_star(edges).filter("a != b").distinct()).distinct(), "edges")
-        before, now = now, state(edges)
+        before = now
+        edges, now = settled(small_star(large_star(edges).filter("a != b").distinct()))
         if now == before:
             break
     else:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, whole_text, written
+from .common import BLANKS, ascii_lower, on_disk, whole_text
 
 
 def lines_of(text: Column) -> Column:
@@ -51,8 +51,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_co
     key = F.md5(text).alias("_key")
     by_hash = docs.select(key, key_hashes(text, min_chars).alias("hs")).select("_key", F.array_sort(F.transform("hs", lambda h, i: F.struct(h.alias("h"), i.alias("pos")))).alias("m"))
     first = lambda x, i: F.struct(x.h.alias("h"), x.pos.alias("pos"), ((i == 0) | ~x.h.eqNullSafe(F.get("m", F.greatest(i - 1, F.lit(0)))["h"])).alias("first"))
-    # explode_outer: explode() would put a filter below itself and work out the hashes twice. Written once, read by count and reassembly.
-    lines = written(by_hash.select("_key", F.explode_outer(F.transform("m", first)).alias("x")).select("_key", "x.h", "x.pos", "x.first").filter(F.col("h").isNotNull()), "lines")
+    # explode_outer: explode() would put a filter below itself and work out the hashes twice. Kept, since count and reassembly read it.
+    lines = on_disk(by_hash.select("_key", F.explode_outer(F.transform("m", first)).alias("x")).select("_key", "x.h", "x.pos", "x.first").filter(F.col("h").isNotNull()))
     often = lines.filter("first").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h")
     gone = lines.select("_key", "h", "pos").join(often, "h", "left_semi").groupBy("_key").agg(F.collect_set("pos").alias("_gone"))
     held = docs.select("*", key).join(gone, "_key", "left").withColumn("_lines", lines_of(text))

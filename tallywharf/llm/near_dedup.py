@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, whole_text, written
+from .common import arrow_map, on_disk, ship, whole_text
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
@@ -223,13 +223,13 @@ def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int]) -> DataFr
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in `ids` (written, distinct); broadcast only when the list is small."""
+    """The rows of docs whose id is in `ids` (kept, distinct); broadcast only when the list is small."""
     return docs.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Of pairs (a, b), a written table, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    """Of pairs (a, b), a kept table, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
+    ids = on_disk(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def sets(batch):
         texts_, out, lo = batch.column(1).to_pylist(), [], 0
@@ -258,7 +258,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
         return {"a": batch.column(0).take(on), "b": batch.column(1).take(on)}
 
     both = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return written(arrow_map(both.select("a", "b", "sa", "sb"), same, "a long, b long"), "links")
+    return on_disk(arrow_map(both.select("a", "b", "sa", "sb"), same, "a long, b long"))
 
 
 def across(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -274,24 +274,24 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows_, bands = banding(percent / 100)
     least = least_matches(percent / 100)
-    base = written(sketches(docs, words, id_col, text_col), "sketches")
+    base = on_disk(sketches(docs, words, id_col, text_col))
     known = base.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"))
     # the row that stands for a class, with its signature; the smallest digest stands for an id that has several
-    sigs = written(known.join(classes.groupBy("id").agg(F.min("set_key").alias("set_key")).withColumnRenamed("id", "doc_id"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sig"), "sigs")
+    sigs = on_disk(known.join(classes.groupBy("id").agg(F.min("set_key").alias("set_key")).withColumnRenamed("id", "doc_id"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sig"))
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * rows_) + 1, F.lit(4 * rows_))))
     banded = sigs.select("id", F.explode(keys).alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).filter("n > 1")
-    buckets = written(banded.join(shared, "band"), "buckets")
+    buckets = on_disk(banded.join(shared, "band"))
 
     # each member against its bucket's centre, the likeliest pair of each member first
-    stars = written(pruned(buckets.filter("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sigs, least), "survivors")
+    stars = on_disk(pruned(buckets.filter("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sigs, least))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    best = written(stars.groupBy("a").agg(F.max_by("b", "agree").alias("b")), "pairs")
+    best = on_disk(stars.groupBy("a").agg(F.max_by("b", "agree").alias("b")))
     links = confirmed(best, texts, percent, words)
     comp = components(links)
-    rest = written(across(stars.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "pairs")
+    rest = on_disk(across(stars.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"))
     if not rest.isEmpty():
         links = links.union(confirmed(rest, texts, percent, words))
         comp = components(links)
@@ -299,11 +299,11 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     # buckets that still hold several components besides their centre
     held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
-    members = written(held.join(open_, "band", "left_semi").select("band", "id", "comp", "n"), "members")
+    members = on_disk(held.join(open_, "band", "left_semi").select("band", "id", "comp", "n"))
     few = members.filter(F.col("n") <= LISTED)
     listed = few.select("band", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("band", F.col("id").alias("b"), F.col("comp").alias("cb")), "band").filter("a > b and ca != cb").select("a", "b").distinct()
     more = pruned(listed, sigs, least).select("a", "b").union(block_pairs(members.filter(F.col("n") > LISTED), sigs, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    more = written(more.distinct(), "pairs")
+    more = on_disk(more.distinct())
     if not more.isEmpty():
         comp = components(links.union(confirmed(more, texts, percent, words)))
 
@@ -312,3 +312,15 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     out = base.join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, as they are, that stay: one of each group; of rows that share a doc_id, one; all rows with a null doc_id."""
+    groups = on_disk(near_groups(docs, percent, words, id_col, text_col).filter("kept").select("doc_id"))
+    ids = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    named = docs.withColumn("_id", F.col(id_col).cast("long"))
+    once, often = ids.filter("n = 1"), ids.filter("n > 1")
+    out = named.filter(F.col("_id").isNull()).unionByName(named.join(once.select(F.col("doc_id").alias("_id")), "_id", "left_semi"))
+    if not often.isEmpty():
+        out = out.unionByName(named.join(often.select(F.col("doc_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]))
+    return out.select(docs.columns)

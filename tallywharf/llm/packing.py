@@ -7,7 +7,7 @@ bin histogram is met; the counts are rounded down, and what is left is packed gr
 histogram. The plan is a few hundred rows. Pieces get their slot from their rank within the bin; ranks are
 counted in shards whose sizes are bounded, so that a bin that holds most of the rows is never in one task.
 
-Text is tokenized once: pieces (without ids) go to the shared folder and everything later reads those.
+Text is tokenized once: pieces (without ids) are kept and everything later reads those.
 
 Defined results: null or empty text is the end token alone; repeated rows are packed as often as they occur; an empty
 table gives no rows. Padding is counted by padding(): a sequence is padded to the window, unless its length is a power of two.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import automaton
-from .common import arrow_map, whole_text, written
+from .common import arrow_map, on_disk, whole_text
 
 WINDOW, QUANTUM, DEPTH = 4096, 32, 3
 END_ID = 2
@@ -151,7 +151,7 @@ def slots(combos: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 def pack(pieces: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, depth: int = DEPTH) -> DataFrame:
     """`pieces` (with `length` from 1 to `window`) plus `sequence_id` and `offset`.
 
-    `pieces` is read several times: hand over a written table.
+    `pieces` is read several times: hand over a table that is kept.
     """
     spark = pieces.sparkSession
     bins = window // quantum
@@ -177,7 +177,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, depth:
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(written(cut_pieces(docs, path, window, id_col, text_col), "pieces"), window)
+    return pack(on_disk(cut_pieces(docs, path, window, id_col, text_col)), window)
 
 
 def padding(packed: DataFrame, window: int = WINDOW) -> DataFrame:

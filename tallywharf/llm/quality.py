@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, whole_text
+from .common import arrow_map, ship, whole_text
 
 SAMPLE, SAMPLE_BYTES, MEASURED_BYTES = 4000, 24_000_000, 4_000_000
 #: Bytes of text that a worker measures at once; about forty times as many are in use meanwhile.
@@ -223,3 +223,23 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
 
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(fold(id_col) == 0, F.lit(False)), whole_text(text_col))
     return arrow_map(rows, one, "doc_id long, held_out boolean, score double, predicted int", SCORED_BYTES)
+
+
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, as they are, whose score reaches the threshold; all rows without a model."""
+    import pyarrow as pa
+
+    if model is None:
+        return docs
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SCORED_BYTES / max(batch.nbytes, 1)))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                score = model.score([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

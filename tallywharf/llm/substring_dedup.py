@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, whole_text, written
+from .common import arrow_map, on_disk, ship, whole_text
 from .near_dedup import CODES, PICKED, mixed, powers
 from .suffixes import repeated
 
@@ -190,7 +190,7 @@ def split_spans(pieces: DataFrame, length: int) -> DataFrame:
             return {c: batch.column(c).take(rows) for c in (*ident, "copies")} | {k: np.array(out[k], np.int64) for k in ("from", "core", "core2", "sub", "at", "n")}
 
         kinds = "v long, seg long, did long, ka long, nb int, lo int, copies long, from long, core long, core2 long, sub long, at long, n long"
-        rows = written(arrow_map(live.select(*ident, "copies", "from", "piece"), one, kinds, PART), "split")
+        rows = on_disk(arrow_map(live.select(*ident, "copies", "from", "piece"), one, kinds, PART))
         key = ["v", "from", "core", "core2"]
         groups = rows.groupBy(*key).agg(F.sum("copies").alias("all"), F.min("sub").alias("s1"), F.max("sub").alias("s2")).filter(F.col("all") > 1)
         kept = rows.join(groups, key)
@@ -206,21 +206,21 @@ def split_spans(pieces: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs: did, ka, nb, text. did, ka, nb, spans (first start and number of starts of repeated strings), for documents that have any."""
-    rows = written(anchored(docs.filter(F.col("nb") >= length), length), "segments")
+    rows = on_disk(anchored(docs.filter(F.col("nb") >= length), length))
     again = rows.groupBy("v").agg(F.count(F.lit(1)).alias("total"), F.max("twice").alias("t")).filter("total > 1 or t").select("v")
-    held = written(rows.join(again, "v", "left_semi"), "anchored")
+    held = on_disk(rows.join(again, "v", "left_semi"))
     at = F.struct("did", "ka", "nb", "lo", F.col("n").alias("starts"))
-    kinds = written(held.groupBy("v", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(at).alias("at")), "kinds")
+    kinds = on_disk(held.groupBy("v", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(at).alias("at")))
     whole = held.join(kinds.filter("copies > 1").select("v", "seg"), ["v", "seg"], "left_semi").select("did", "ka", "nb", "lo", "n")
     groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.max("twice").alias("t")).filter("single > 0 and (different > 1 or t)").select("v", "different")
-    need = written(kinds.join(groups, "v").select("v", "seg", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
+    need = on_disk(kinds.join(groups, "v").select("v", "seg", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")))
     parts = [whole]
     if not need.isEmpty():
-        ids = written(need.select("did", "ka", "nb").distinct(), "ids")
+        ids = on_disk(need.select("did", "ka", "nb").distinct())
         small = ids.count() <= PICKED
         some = docs.join(F.broadcast(ids) if small else ids, ["did", "ka", "nb"], "left_semi")
         cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("n") + length - 1)
-        pieces = written(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces")
+        pieces = on_disk(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")))
         parts.append(shard_spans(pieces.filter(F.col("different") <= hot), length, shard_bytes))
         many = pieces.filter(F.col("different") > hot)
         if not many.isEmpty():
@@ -243,11 +243,14 @@ def removed(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """The rows of `docs` plus `_kept` (binary: the bytes outside all spans) and `_spans` (maximal removed runs, start and end)."""
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, **bounds) -> DataFrame:
+    """The rows of `docs` without the text, plus `_kept` (binary: the bytes outside all spans) and `_spans` (maximal removed runs, start and end).
+
+    as_text: `_kept` is a string instead, and what is left of a character that a span cut in two is left out.
+    """
     text = whole_text(text_col)
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("ka"), F.octet_length(text).alias("nb")]
-    spans = written(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans")
+    spans = on_disk(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds))
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(spans, ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
 
     def one(batch):
@@ -258,11 +261,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             raw = t.encode("utf-8")
             runs = removed(s, length)
             edges = [0, *(x for r in runs for x in r), len(raw)]
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else raw)
+            left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else raw
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             cuts.append([{"start": a, "end": b} for a, b in runs])
         return {"_rest": batch.column(0), "_kept": kept, "_spans": pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
 
     kind = rows.schema["_rest"].dataType.simpleString()
-    out = arrow_map(rows, one, f"_rest {kind}, _kept binary, _spans array<struct<start:long,end:long>>")
+    out = arrow_map(rows, one, f"_rest {kind}, _kept {'string' if as_text else 'binary'}, _spans array<struct<start:long,end:long>>")
     return out.select("_rest.*", "_kept", "_spans")
 
