@@ -50,23 +50,33 @@ def shared_dir(spark: SparkSession) -> str:
 def on_disk(df: DataFrame) -> DataFrame:
     """Keeps rows that are read several times on the executors' disks. The lineage stays: what a lost executor held is worked out again.
 
-    They are let go with the session, or by spark.catalog.clearCache(), since lazy results may still read them.
+    They are let go with the session, or by spark.catalog.clearCache(), since lazy results may still read them. For a few large tables only: the plans of all that
+    is made from them hold theirs.
     """
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def written(df: DataFrame, label: str = "cut", files: int | None = None) -> DataFrame:
+def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """Cuts the lineage, for loops and between stages: the rows go to a Parquet table in the shared folder and are read from there.
 
     The table lives until the application ends, since lazy results may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallywharf/{label}-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, label: str, file_rows: int = 2_000_000) -> DataFrame:
+    """written() in files of `file_rows` rows, about: for tables far smaller than what they were made from. Each has a small plan of its own afterwards."""
+    rows = on_disk(df)
+    files = rows.count() // file_rows + 1
+    out = written(rows.repartition(files), label)
+    rows.unpersist()
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table through Hadoop's file system, whichever store holds it."""
     try:

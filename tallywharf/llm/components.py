@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_disk, written
-
-#: Links in a file of a turn's table.
-FILE_ROWS = 2_000_000
+from .common import compact
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -33,11 +30,8 @@ def state(edges: DataFrame) -> tuple:
 
 def settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The distinct edges as a written table, which ends their lineage, and their state."""
-    rows = on_disk(edges.distinct())
-    now = state(rows)
-    out = written(rows, "edges", now[0] // FILE_ROWS + 1)
-    rows.unpersist()
-    return out, now
+    out = compact(edges.distinct(), "edges")
+    return out, state(out)
 
 
 def components(links: DataFrame, turns: int = 60) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, on_disk, ship, whole_text
+from .common import arrow_map, compact, on_disk, ship, whole_text
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
@@ -229,7 +229,7 @@ def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Of pairs (a, b), a kept table, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
-    ids = on_disk(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = compact(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
 
     def sets(batch):
         texts_, out, lo = batch.column(1).to_pylist(), [], 0
@@ -258,7 +258,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
         return {"a": batch.column(0).take(on), "b": batch.column(1).take(on)}
 
     both = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return on_disk(arrow_map(both.select("a", "b", "sa", "sb"), same, "a long, b long"))
+    return compact(arrow_map(both.select("a", "b", "sa", "sb"), same, "a long, b long"), "links")
 
 
 def across(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -286,12 +286,12 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     buckets = on_disk(banded.join(shared, "band"))
 
     # each member against its bucket's centre, the likeliest pair of each member first
-    stars = on_disk(pruned(buckets.filter("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sigs, least))
+    stars = compact(pruned(buckets.filter("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sigs, least), "survivors")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    best = on_disk(stars.groupBy("a").agg(F.max_by("b", "agree").alias("b")))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
     links = confirmed(best, texts, percent, words)
     comp = components(links)
-    rest = on_disk(across(stars.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"))
+    rest = compact(across(stars.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "pairs")
     if not rest.isEmpty():
         links = links.union(confirmed(rest, texts, percent, words))
         comp = components(links)
@@ -299,11 +299,11 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     # buckets that still hold several components besides their centre
     held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
-    members = on_disk(held.join(open_, "band", "left_semi").select("band", "id", "comp", "n"))
+    members = compact(held.join(open_, "band", "left_semi").select("band", "id", "comp", "n"), "members")
     few = members.filter(F.col("n") <= LISTED)
     listed = few.select("band", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("band", F.col("id").alias("b"), F.col("comp").alias("cb")), "band").filter("a > b and ca != cb").select("a", "b").distinct()
     more = pruned(listed, sigs, least).select("a", "b").union(block_pairs(members.filter(F.col("n") > LISTED), sigs, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    more = on_disk(more.distinct())
+    more = compact(more.distinct(), "pairs")
     if not more.isEmpty():
         comp = components(links.union(confirmed(more, texts, percent, words)))
 
@@ -316,7 +316,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
 
 def keep_first(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, as they are, that stay: one of each group; of rows that share a doc_id, one; all rows with a null doc_id."""
-    groups = on_disk(near_groups(docs, percent, words, id_col, text_col).filter("kept").select("doc_id"))
+    groups = compact(near_groups(docs, percent, words, id_col, text_col).filter("kept").select("doc_id"), "kept")
     ids = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     named = docs.withColumn("_id", F.col(id_col).cast("long"))
     once, often = ids.filter("n = 1"), ids.filter("n > 1")

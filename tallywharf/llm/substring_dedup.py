@@ -20,13 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, on_disk, ship, whole_text
+from .common import arrow_map, compact, on_disk, ship, whole_text
 from .near_dedup import CODES, PICKED, mixed, powers
 from .suffixes import repeated
 
 LENGTH = 400
 #: Different segments of an anchor beyond which it is split; bytes of a shard; starts in a segment of periodic text; bytes of text a worker hashes at once.
 HOT, SHARD_BYTES, RUN, PART = 4096, 2_000_000, 4096, 1_500_000
+#: Segments with their bytes in a file, about.
+PIECE_ROWS = 60_000
 NO_ID = -(1 << 63)
 SEEDS = np.random.default_rng(11).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -190,7 +192,7 @@ def split_spans(pieces: DataFrame, length: int) -> DataFrame:
             return {c: batch.column(c).take(rows) for c in (*ident, "copies")} | {k: np.array(out[k], np.int64) for k in ("from", "core", "core2", "sub", "at", "n")}
 
         kinds = "v long, seg long, did long, ka long, nb int, lo int, copies long, from long, core long, core2 long, sub long, at long, n long"
-        rows = on_disk(arrow_map(live.select(*ident, "copies", "from", "piece"), one, kinds, PART))
+        rows = compact(arrow_map(live.select(*ident, "copies", "from", "piece"), one, kinds, PART), "split")
         key = ["v", "from", "core", "core2"]
         groups = rows.groupBy(*key).agg(F.sum("copies").alias("all"), F.min("sub").alias("s1"), F.max("sub").alias("s2")).filter(F.col("all") > 1)
         kept = rows.join(groups, key)
@@ -210,17 +212,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     again = rows.groupBy("v").agg(F.count(F.lit(1)).alias("total"), F.max("twice").alias("t")).filter("total > 1 or t").select("v")
     held = on_disk(rows.join(again, "v", "left_semi"))
     at = F.struct("did", "ka", "nb", "lo", F.col("n").alias("starts"))
-    kinds = on_disk(held.groupBy("v", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(at).alias("at")))
+    kinds = compact(held.groupBy("v", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(at).alias("at")), "kinds")
     whole = held.join(kinds.filter("copies > 1").select("v", "seg"), ["v", "seg"], "left_semi").select("did", "ka", "nb", "lo", "n")
     groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.max("twice").alias("t")).filter("single > 0 and (different > 1 or t)").select("v", "different")
-    need = on_disk(kinds.join(groups, "v").select("v", "seg", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")))
+    need = compact(kinds.join(groups, "v").select("v", "seg", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
     parts = [whole]
     if not need.isEmpty():
-        ids = on_disk(need.select("did", "ka", "nb").distinct())
+        ids = compact(need.select("did", "ka", "nb").distinct(), "ids")
         small = ids.count() <= PICKED
         some = docs.join(F.broadcast(ids) if small else ids, ["did", "ka", "nb"], "left_semi")
         cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("n") + length - 1)
-        pieces = on_disk(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")))
+        pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", PIECE_ROWS)
         parts.append(shard_spans(pieces.filter(F.col("different") <= hot), length, shard_bytes))
         many = pieces.filter(F.col("different") > hot)
         if not many.isEmpty():
@@ -250,7 +252,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """
     text = whole_text(text_col)
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("ka"), F.octet_length(text).alias("nb")]
-    spans = on_disk(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds))
+    spans = compact(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans", PIECE_ROWS)
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(spans, ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
 
     def one(batch):
