@@ -27,8 +27,10 @@ import unicodedata
 import numpy as np
 import regex
 
+from .common import worker_table
+
 #: Words kept by one worker process, and slots of its transition table.
-WORDS, SLOTS = 400_000, 1 << 20
+WORDS, SLOTS = 250_000, 1 << 20
 LONG_WORD = 400
 
 # Fixed values of the tokenizer file: its splitting pattern, by code points up to U+00FF and in general.
@@ -352,14 +354,9 @@ class Automaton:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_held: dict[str, Automaton] = {}
-
-
 def automaton(path: str) -> Automaton:
     """The compiled automaton of a file, once in each process."""
-    if path not in _held:
-        _held[path] = Automaton(path)
-    return _held[path]
+    return worker_table(("automaton", path), lambda: Automaton(path))
 
 
 def encode_rows(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, worker_table
 
 OPEN, MIDDLE, END = "[INST]", "[/INST]", "</s>"
 #: Characters encoded at a time, and in a part of a very long conversation.
@@ -65,12 +65,10 @@ class Template:
         return [(self.unescape(parts[i + 1]), self.unescape(parts[i + 2])) for i in range(0, len(parts), 3)]
 
 
-_held: dict = {}
-
-
 def tools(path: str):
     """The tokenizer with the template's control tokens, and the template; once in each process."""
-    if path not in _held:
+
+    def build():
         from tokenizers import AddedToken, Tokenizer, processors
 
         tok = Tokenizer.from_file(path)
@@ -78,8 +76,9 @@ def tools(path: str):
         tok.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (OPEN, MIDDLE, END)])
         tok.post_processor = processors.ByteLevel(trim_offsets=False)
         tok.no_truncation(), tok.no_padding()
-        _held[path] = tok, Template(own)
-    return _held[path]
+        return tok, Template(own)
+
+    return worker_table(("chat", path), build)
 
 
 def mask(spans: list[tuple[int, int]], offsets: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:

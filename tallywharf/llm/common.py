@@ -132,6 +132,17 @@ def arrow_map(df: DataFrame, one, schema: str, part_bytes: int = PART_BYTES) ->
     return df.mapInArrow(run, schema)
 
 
+_tables: dict = {}
+
+
+def worker_table(key, build):
+    """A large table of a worker process, built once. Workers outlive operators: only the table asked for last is kept, so several operators in turn need no more memory than one."""
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = build()
+    return _tables[key]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the bytes of Spark's own Arrow batches, where the session has the default of 64 MB: a batch is held on both sides."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -3,7 +3,8 @@
 Documents are sets of distinct five-word shingles (64-bit hashes). Documents with equal sets form a class, and only one row of a class goes on.
 Signatures are cut into bands; classes that share a band are in one bucket.
 
-Buckets never give all their pairs. First, each member is paired with its bucket's smallest member. A pair's signatures are compared a batch at
+Buckets never give all their pairs. First, each member is paired with the smallest member of a bucket: the one it shares most buckets with, and others only as long as they lie
+in other components. A pair's signatures are compared a batch at
 a time, and the pair is pruned once the posterior probability that its similarity reaches the threshold (uniform prior, so a binomial tail) falls below `MISS`;
 survivors are confirmed on the full shingle sets, recomputed from the texts concerned. Components follow, and only buckets whose members still lie in
 different components go on: there, members of different components are compared signature against signature in blocks of bounded size, inside tasks that
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, on_disk, ship, whole_text
+from .common import arrow_map, compact, on_disk, ship, whole_text, worker_table
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
@@ -55,18 +56,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """STEP ** i and its inverse, modulo 2 ** 64, for i < n at least."""
-    held = _powers.get(0)
-    if held is None or len(held[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        back = np.uint64(pow(int(STEP), -1, 1 << 64))
-        held = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, s, np.uint64), dtype=np.uint64)]) for s in (STEP, back))
-        _powers[0] = held
-    return held
+    size = 1 << max(16, int(n - 1).bit_length())
+    back = np.uint64(pow(int(STEP), -1, 1 << 64))
+    return worker_table(("powers", max(size, 1 << 21)), lambda: tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(size, 1 << 21) - 1, s, np.uint64), dtype=np.uint64)]) for s in (STEP, back)))
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -285,13 +279,13 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).filter("n > 1")
     buckets = on_disk(banded.join(shared, "band"))
 
-    # each member against its bucket's centre, the likeliest pair of each member first
-    stars = compact(pruned(buckets.filter("id != center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), sigs, least), "survivors")
+    # each member against the centre that it shares most bands with; against other centres only while they lie in other components
+    stars = on_disk(buckets.filter("id != center").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    links = confirmed(best, texts, percent, words)
+    first = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
+    links = confirmed(compact(pruned(first, sigs, least), "survivors"), texts, percent, words)
     comp = components(links)
-    rest = compact(across(stars.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "pairs")
+    rest = compact(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least), "survivors")
     if not rest.isEmpty():
         links = links.union(confirmed(rest, texts, percent, words))
         comp = components(links)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, whole_text
+from .common import arrow_map, ship, whole_text, worker_table
 
 SAMPLE, SAMPLE_BYTES, MEASURED_BYTES = 4000, 24_000_000, 4_000_000
 #: Bytes of text that a worker measures at once; about forty times as many are in use meanwhile.
@@ -217,6 +217,7 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
     """One row per input row: id, held_out, score, predicted."""
 
     def one(batch):
+        worker_table("quality", lambda: None)
         texts = batch.column(2).to_pylist()
         score = model.score(texts) if model else np.full(len(texts), 0.5)
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": score, "predicted": (score >= threshold).astype(np.int32)}
@@ -235,6 +236,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
     at = docs.columns.index(text_col)
 
     def run(batches):
+        worker_table("quality", lambda: None)
         for batch in batches:
             step = max(1, int(batch.num_rows * SCORED_BYTES / max(batch.nbytes, 1)))
             for lo in range(0, batch.num_rows, step):
