@@ -8,7 +8,7 @@ in other components. A pair's signatures are compared a batch at
 a time, and the pair is pruned once the posterior probability that its similarity reaches the threshold (uniform prior, so a binomial tail) falls below `MISS`;
 survivors are confirmed on the full shingle sets, recomputed from the texts concerned. Components follow, and only buckets whose members still lie in
 different components go on: there, members of different components are compared signature against signature in blocks of bounded size, inside tasks that
-return survivors only. So no link is left out for the size of a bucket: a pair that shares a band is compared, unless its members are in one component already.
+return survivors only, the likeliest of any two components first. So no link is left out for the size of a bucket: a pair that shares a band is compared, unless its members are in one component already.
 A link at the threshold shares no band with a probability below `LOST`.
 
 Defined results: null text is empty; a set without shingles is linked with nothing; fewer words than `words` make one shingle; rows with a
@@ -31,8 +31,8 @@ from .components import components
 WORDS, HASHES, BATCH = 5, 192, 32
 #: Probability of pruning a pair at the threshold, and of a link at the threshold that shares no band.
 MISS, LOST = 1e-9, 1e-6
-#: Members of a block of a bucket, and of a bucket whose remaining pairs are listed by id.
-BLOCK, LISTED = 1024, 8
+#: Members of a block of a bucket; likeliest pairs of two components that a block gives at a time (None: all).
+BLOCK, TOPS = 1024, (1, 32, None)
 #: Rows up to which a list of ids is broadcast (8 bytes each) to pick documents; a shuffled semi-join beyond.
 PICKED = 400_000
 #: Bytes of text that are shingled at once.
@@ -180,11 +180,11 @@ def pruned(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
     return arrow_map(both.select("a", "b", "sa", "sb"), one, "a long, b long, agree long", PART)
 
 
-def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
-    """members: band, id, comp, n. Pairs of one bucket and different components that the batches leave.
+def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int], top: int | None) -> DataFrame:
+    """members: band, id, comp, n. Pairs (a > b) of one bucket and different components that the batches leave; `cut` tells that a cell has more of its two components.
 
     A bucket of up to BLOCK members is one cell; a larger one is dealt to blocks, and each pair of blocks is a cell. A cell compares its pairs within its
-    task, a run of rows of one component at a time, and returns survivors only.
+    task, a row against all later components at a time, and returns the `top` likeliest pairs of any two components (None: all that survive).
     """
     import pyarrow as pa
 
@@ -200,20 +200,33 @@ def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int]) -> DataFr
         ids, comps, own_ = (group.column(c).to_numpy()[order] for c in ("id", "comp", "own"))
         sig = signed(group.column("sig"), n)[order]
         cell = group.column("cell")[0].as_py()
-        out = []
         starts = np.flatnonzero(np.concatenate([[True], comps[1:] != comps[:-1]]))
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
-            for at in range(lo, hi):
-                rest = np.arange(hi, n)  # components that come later
-                if cell["i"] != cell["j"]:
-                    rest = rest[own_[hi:] != own_[at]]
-                if len(rest):
-                    agree = survive(np.broadcast_to(sig[at], (len(rest), HASHES)), sig[rest], least)
-                    out += [(int(ids[at]), int(ids[r]), int(agree[k])) for k, r in enumerate(rest.tolist()) if agree[k] >= 0]
-        a, b, m = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(m, pa.int64())})
-
-    return rows.groupBy("band", "cell").applyInArrow(run, "a long, b long, agree long")
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        parts = []
+        for at in range(n):
+            later = starts[number[at] + 1] if number[at] + 1 < len(starts) else n
+            rest = np.arange(later, n)
+            if cell["i"] != cell["j"]:
+                rest = rest[own_[rest] != own_[at]]
+            if len(rest):
+                agree = survive(np.broadcast_to(sig[at], (len(rest), HASHES)), sig[rest], least)
+                on = np.flatnonzero(agree >= 0)
+                if len(on):
+                    parts.append(np.stack([np.full(len(on), at), rest[on], agree[on]]))
+        x, y, agree = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
+        cut = np.zeros(len(x), bool)
+        if top is not None and len(x):
+            pair = number[x] * len(starts) + number[y]
+            by = np.lexsort((-agree, pair))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(pair[by]) != 0]))
+            size = np.diff(np.append(first, len(by)))
+            rank = np.arange(len(by)) - np.repeat(first, size)
+            cut = np.repeat(size > top, size)[rank < top]
+            x, y = x[by[rank < top]], y[by[rank < top]]
+        a, b = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array(cut)})
+
+    return rows.groupBy("band", "cell").applyInArrow(run, "a long, b long, cut boolean")
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -290,16 +303,21 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
         links = links.union(confirmed(rest, texts, percent, words))
         comp = components(links)
 
-    # buckets that still hold several components besides their centre
-    held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
-    members = compact(held.join(open_, "band", "left_semi").select("band", "id", "comp", "n"), "members")
-    few = members.filter(F.col("n") <= LISTED)
-    listed = few.select("band", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("band", F.col("id").alias("b"), F.col("comp").alias("cb")), "band").filter("a > b and ca != cb").select("a", "b").distinct()
-    more = pruned(listed, sigs, least).select("a", "b").union(block_pairs(members.filter(F.col("n") > LISTED), sigs, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    more = compact(more.distinct(), "pairs")
-    if not more.isEmpty():
-        comp = components(links.union(confirmed(more, texts, percent, words)))
+    # buckets that still hold several components besides their centre: first the likeliest pair of any two components, then more, then all
+    tested = None
+    for top in TOPS:
+        held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
+        members = held.join(open_, "band", "left_semi").select("band", "id", "comp", "n")
+        pairs = compact(block_pairs(members, sigs, least, top).groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
+        if pairs.isEmpty():
+            break
+        new = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        links = links.union(confirmed(compact(new, "new"), texts, percent, words))
+        comp = components(links)
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        if pairs.filter("cut").isEmpty():
+            break
 
     # (set, its class, its component) for every row
     groups = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("comp", "id").alias("found"))
