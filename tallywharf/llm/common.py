@@ -63,7 +63,7 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallywharf/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,6 +77,15 @@ def compact(df: DataFrame, label: str, file_rows: int = 2_000_000) -> DataFrame:
     return out
 
 
+#: Rows up to which a table of narrow rows is broadcast; beyond, both sides of its join are shuffled.
+LIGHT_ROWS = 400_000
+
+
+def light(df: DataFrame, size: int) -> DataFrame:
+    """df, of `size` rows as counted, marked for broadcast if that is few enough."""
+    return F.broadcast(df) if size <= LIGHT_ROWS else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table through Hadoop's file system, whichever store holds it."""
     try:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, on_disk, ship, whole_text, worker_table
+from .common import arrow_map, compact, light, on_disk, ship, whole_text, worker_table
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
@@ -33,8 +33,6 @@ WORDS, HASHES, BATCH = 5, 192, 32
 MISS, LOST = 1e-9, 1e-6
 #: Members of a block of a bucket; likeliest pairs of two components that a block gives at a time (None: all).
 BLOCK, TOPS = 1024, (1, 32, None)
-#: Rows up to which a list of ids is broadcast (8 bytes each) to pick documents; a shuffled semi-join beyond.
-PICKED = 400_000
 #: Bytes of text that are shingled at once.
 PART = 1_500_000
 
@@ -231,12 +229,12 @@ def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int], top: int
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose id is in `ids` (kept, distinct); broadcast only when the list is small."""
-    return docs.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "id", "left_semi")
+    return docs.join(light(ids, ids.count()), "id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Of pairs (a, b), a kept table, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
-    ids = compact(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = on_disk(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def sets(batch):
         texts_, out, lo = batch.column(1).to_pylist(), [], 0
@@ -296,9 +294,9 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     stars = on_disk(buckets.filter("id != center").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
-    links = confirmed(compact(pruned(first, sigs, least), "survivors"), texts, percent, words)
+    links = confirmed(on_disk(pruned(first, sigs, least)), texts, percent, words)
     comp = components(links)
-    rest = compact(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least), "survivors")
+    rest = on_disk(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least))
     if not rest.isEmpty():
         links = links.union(confirmed(rest, texts, percent, words))
         comp = components(links)
@@ -313,7 +311,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
         if pairs.isEmpty():
             break
         new = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        links = links.union(confirmed(compact(new, "new"), texts, percent, words))
+        links = links.union(confirmed(on_disk(new), texts, percent, words))
         comp = components(links)
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if pairs.filter("cut").isEmpty():
@@ -328,11 +326,11 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
 
 def keep_first(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, as they are, that stay: one of each group; of rows that share a doc_id, one; all rows with a null doc_id."""
-    groups = compact(near_groups(docs, percent, words, id_col, text_col).filter("kept").select("doc_id"), "kept")
-    ids = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = compact(near_groups(docs, percent, words, id_col, text_col).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "kept")
     named = docs.withColumn("_id", F.col(id_col).cast("long"))
-    once, often = ids.filter("n = 1"), ids.filter("n > 1")
-    out = named.filter(F.col("_id").isNull()).unionByName(named.join(once.select(F.col("doc_id").alias("_id")), "_id", "left_semi"))
-    if not often.isEmpty():
-        out = out.unionByName(named.join(often.select(F.col("doc_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]))
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    out = named.join(light(gone, gone.count()), "_id", "left_anti")
+    often = groups.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
+    if not often.isEmpty():  # ids that rows share
+        out = out.join(often, "_id", "left_anti").unionByName(out.join(often, "_id", "left_semi").dropDuplicates(["_id"]))
     return out.select(docs.columns)

@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, on_disk, ship, whole_text
-from .near_dedup import CODES, PICKED, mixed, powers
+from .common import arrow_map, compact, light, on_disk, ship, whole_text
+from .near_dedup import CODES, mixed, powers
 from .suffixes import repeated
 
 LENGTH = 400
@@ -218,9 +218,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     need = compact(kinds.join(groups, "v").select("v", "seg", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
     parts = [whole]
     if not need.isEmpty():
-        ids = compact(need.select("did", "ka", "nb").distinct(), "ids")
-        small = ids.count() <= PICKED
-        some = docs.join(F.broadcast(ids) if small else ids, ["did", "ka", "nb"], "left_semi")
+        ids = on_disk(need.select("did", "ka", "nb").distinct())
+        some = docs.join(light(ids, ids.count()), ["did", "ka", "nb"], "left_semi")
         cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("n") + length - 1)
         pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", PIECE_ROWS)
         parts.append(shard_spans(pieces.filter(F.col("different") <= hot), length, shard_bytes))
@@ -253,7 +252,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     text = whole_text(text_col)
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("ka"), F.octet_length(text).alias("nb")]
     spans = compact(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans", PIECE_ROWS)
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(spans, ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
+    n_spans = spans.select(F.sum(F.size("spans"))).first()[0] or 0
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(light(spans, n_spans), ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
 
     def one(batch):
         import pyarrow as pa
