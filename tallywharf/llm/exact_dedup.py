@@ -1,7 +1,6 @@
 """Exact deduplication by content-defined chunk recipes (operator 9, native).
 
-Every text is cut into chunks whose ends depend on the content around them (a line end after `MIN_CHUNK`
-characters, or `MAX_CHUNK` characters without one). Chunks are deduplicated to verified identifiers: a
+Every text is cut into chunks whose ends depend on the line before them alone, so an insertion moves no later end. Chunks are deduplicated to verified identifiers: a
 64-bit hash names a chunk, and its SHA-256 verifies the name, so that two chunks that share the 64 bits get
 different identifiers. A document's recipe is its ordered identifier list, and documents are equal when
 their recipes are. Texts are read where they lie and never shuffled: only recipes move.
@@ -18,13 +17,21 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-MIN_CHUNK, MAX_CHUNK = 512, 4096
+#: One line in so many ends a chunk; longer chunks are cut at so many characters.
+LINES, MAX_CHUNK = 8, 4096
+MARK = "\x01"
 
 
-def chunks(text, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK):
-    """Content-defined chunks of a text column; concatenated they give the text. Empty texts have one empty chunk."""
-    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{{smallest},{largest}}}?\\n|.{{1,{largest}}}"), F.lit(0))
-    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut)
+def chunks(text, lines: int = LINES, largest: int = MAX_CHUNK):
+    """Content-defined chunks of a text column: a line ends one if its hash says so, whatever lies before it. Every text has one at least.
+
+    Ends are marked by a control character. One in the text itself also ends a chunk, and still no two texts have equal chunks: a marked end
+    depends on the line before it, so texts with equal lines have equal marks.
+    """
+    marked = F.transform(F.split(text, "\n", -1), lambda x: F.when(F.pmod(F.xxhash64(x), F.lit(lines)) == 0, F.concat(x, F.lit(MARK))).otherwise(x))
+    parts = F.split(F.array_join(marked, "\n"), MARK, -1)
+    cut = lambda p: F.when(F.length(p) <= largest, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{largest}}}"), F.lit(0)))
+    return F.flatten(F.transform(parts, cut))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,7 +40,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = F.transform(chunks(F.col("text")), lambda c: F.struct(F.xxhash64(c).alias("h"), F.sha2(c, 256).alias("s")))
     used = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-        .select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode(named).alias("pos", "c"))
+        .select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode_outer(named).alias("pos", "c"))  # the outer form works the chunks out once: no filter goes below it
         .select("doc_id", "text_sha256", "pos", "c.h", "c.s")
     )
     # identifier (h, v): v tells apart chunks whose h is the same and whose SHA-256 is not
