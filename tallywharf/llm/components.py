@@ -24,26 +24,17 @@ def small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
-def state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The distinct edges as a written table, which ends their lineage, and their state."""
-    out = compact(edges.distinct(), "edges")
-    return out, state(out)
+def is_settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each node has one edge down, to a node that has none."""
+    n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+    return n == nodes and edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, turns: int = 60) -> DataFrame:
     """links: a, b. Rows (node, comp) with the smallest node of each component, for all nodes but those smallest."""
-    edges, now = settled(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    edges = compact(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(turns):
-        if not now[0]:
-            break
-        before = now
-        edges, now = settled(small_star(large_star(edges).filter("a != b").distinct()))
-        if now == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        if is_settled(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        edges = compact(small_star(large_star(edges).filter("a != b").distinct()).distinct(), "edges")
+    raise RuntimeError("components did not settle")

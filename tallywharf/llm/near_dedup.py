@@ -297,8 +297,8 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     links = confirmed(on_disk(pruned(first, sigs, least)), texts, percent, words)
     comp = components(links)
     rest = on_disk(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least))
-    if not rest.isEmpty():
-        links = links.union(confirmed(rest, texts, percent, words))
+    if not rest.isEmpty() and not (more := confirmed(rest, texts, percent, words)).isEmpty():
+        links = links.union(more)
         comp = components(links)
 
     # buckets that still hold several components besides their centre: first the likeliest pair of any two components, then more, then all
@@ -311,8 +311,9 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
         if pairs.isEmpty():
             break
         new = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        links = links.union(confirmed(on_disk(new), texts, percent, words))
-        comp = components(links)
+        if not (more := confirmed(on_disk(new), texts, percent, words)).isEmpty():
+            links = links.union(more)
+            comp = components(links)
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if pairs.filter("cut").isEmpty():
             break
