@@ -77,13 +77,13 @@ def compact(df: DataFrame, label: str, file_rows: int = 2_000_000) -> DataFrame:
     return out
 
 
-#: Rows up to which a table of narrow rows is broadcast; beyond, both sides of its join are shuffled.
-LIGHT_ROWS = 400_000
+#: Estimated bytes up to which a counted table is broadcast; beyond, both sides of its join are shuffled.
+LIGHT_BYTES = 32_000_000
 
 
-def light(df: DataFrame, size: int) -> DataFrame:
-    """df, of `size` rows as counted, marked for broadcast if that is few enough."""
-    return F.broadcast(df) if size <= LIGHT_ROWS else df
+def light(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """df, of `rows` rows as counted, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if rows * row_bytes <= LIGHT_BYTES else df
 
 
 def remove(spark: SparkSession, path: str) -> None:

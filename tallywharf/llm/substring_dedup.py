@@ -253,7 +253,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("ka"), F.octet_length(text).alias("nb")]
     spans = compact(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans", PIECE_ROWS)
     n_spans = spans.select(F.sum(F.size("spans"))).first()[0] or 0
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(light(spans, n_spans), ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(light(spans, n_spans, 16), ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
 
     def one(batch):
         import pyarrow as pa
