@@ -68,12 +68,12 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def compact(df: DataFrame, label: str, file_rows: int = 2_000_000) -> DataFrame:
-    """written() in files of `file_rows` rows, about: for tables far smaller than what they were made from. Each has a small plan of its own afterwards."""
-    rows = on_disk(df)
-    files = rows.count() // file_rows + 1
-    out = written(rows.repartition(files), label)
-    rows.unpersist()
+def compact(df: DataFrame, label: str, most: int | None = None, file_rows: int = 2_000_000) -> DataFrame:
+    """written() in files of `file_rows` rows, about: for tables far smaller than what they were made from. `most`: a known bound of its rows, else they are counted."""
+    rows = df if most is not None else on_disk(df)
+    out = written(rows.repartition((rows.count() if most is None else most) // file_rows + 1), label)
+    if most is None:
+        rows.unpersist()
     return out
 
 

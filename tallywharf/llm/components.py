@@ -1,6 +1,6 @@
-"""Connected components by alternating large-star and small-star steps, as joins and minima only.
+"""Connected components: up to `FEW` links in one task on an executor, more by alternating large-star and small-star steps, as joins and minima only.
 
-No step gathers a node's neighbours in a list, so a hub with a third of all links is dealt with by partial minima and by joins that Spark can
+No star step gathers a node's neighbours in a list, so a hub with a third of all links is dealt with by partial minima and by joins that Spark can
 split. Lineage is cut after every turn.
 """
 
@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact
+from .common import compact, ship
+
+#: Links up to which one task finds the components; a hundred bytes each, about.
+FEW = 1_000_000
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -30,8 +33,45 @@ def is_settled(edges: DataFrame) -> bool:
     return n == nodes and edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
-def components(links: DataFrame, turns: int = 60) -> DataFrame:
-    """links: a, b. Rows (node, comp) with the smallest node of each component, for all nodes but those smallest."""
+def merged(links: DataFrame) -> DataFrame:
+    """The components of a few links: a union-find over numbered nodes, in one task."""
+    import pyarrow as pa
+
+    ship(links.sparkSession)
+
+    def run(batches):
+        import numpy as np
+
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        up = list(range(len(nodes)))
+        for x, y in zip(number[: len(a)].tolist(), number[len(a) :].tolist(), strict=True):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        for i in range(len(up)):  # parents are smaller, so they are done
+            up[i] = up[up[i]]
+        root = nodes[np.array(up, np.int64)]
+        on = root != nodes
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(root[on])], names=["node", "comp"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, comp long")
+
+
+def components(links: DataFrame, most: int | None = None, turns: int = 60) -> DataFrame:
+    """links: a, b; `most`: a known bound of their number. Rows (node, comp) with the smallest node of each component, for all nodes but those smallest."""
+    if (links.count() if most is None else most) <= FEW:
+        return compact(merged(links), "components", FEW)
+    return by_stars(links, turns)
+
+
+def by_stars(links: DataFrame, turns: int = 60) -> DataFrame:
     edges = compact(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(turns):
         if is_settled(edges):

@@ -227,14 +227,9 @@ def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int], top: int
     return rows.groupBy("band", "cell").applyInArrow(run, "a long, b long, cut boolean")
 
 
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in `ids` (kept, distinct); broadcast only when the list is small."""
-    return docs.join(light(ids, ids.count()), "id", "left_semi")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Of pairs (a, b), a kept table, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
-    ids = on_disk(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def confirmed(pairs: DataFrame, most: int, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Of pairs (a, b), a kept table of at most `most` rows, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets(batch):
         texts_, out, lo = batch.column(1).to_pylist(), [], 0
@@ -247,7 +242,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
             lo = hi
         return {"id": batch.column(0), "s": out, "key": [blake2b(s, digest_size=16).digest() for s in out]}
 
-    full = arrow_map(picked(texts.select("id", "text"), ids), sets, "id long, s binary, key binary")
+    full = arrow_map(texts.select("id", "text").join(light(ids, 2 * most), "id", "left_semi"), sets, "id long, s binary, key binary")
     full = full.groupBy("id").agg(F.min_by("s", "key").alias("s"))
 
     def same(batch):
@@ -263,7 +258,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
         return {"a": batch.column(0).take(on), "b": batch.column(1).take(on)}
 
     both = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return compact(arrow_map(both.select("a", "b", "sa", "sb"), same, "a long, b long"), "links")
+    return compact(arrow_map(both.select("a", "b", "sa", "sb"), same, "a long, b long"), "links", most)
 
 
 def across(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -294,12 +289,15 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     stars = on_disk(buckets.filter("id != center").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
-    links = confirmed(on_disk(pruned(first, sigs, least)), texts, percent, words)
-    comp = components(links)
-    rest = on_disk(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least))
-    if not rest.isEmpty() and not (more := confirmed(rest, texts, percent, words)).isEmpty():
-        links = links.union(more)
-        comp = components(links)
+    near = on_disk(pruned(first, sigs, least))
+    n_links = near.count()
+    links = confirmed(near, n_links, texts, percent, words)
+    comp = components(links, n_links)
+    near = on_disk(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least))
+    n = near.count()
+    if n and not (more := confirmed(near, n, texts, percent, words)).isEmpty():
+        links, n_links = links.union(more), n_links + n
+        comp = components(links, n_links)
 
     # buckets that still hold several components besides their centre: first the likeliest pair of any two components, then more, then all
     tested = None
@@ -307,16 +305,17 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
         held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
         members = held.join(open_, "band", "left_semi").select("band", "id", "comp", "n")
-        pairs = compact(block_pairs(members, sigs, least, top).groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
-        if pairs.isEmpty():
+        pairs = on_disk(block_pairs(members, sigs, least, top).groupBy("a", "b").agg(F.max("cut").alias("cut")))
+        n, cut = pairs.agg(F.count(F.lit(1)), F.max("cut")).first()
+        if not n:
             break
         new = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        if not (more := confirmed(on_disk(new), texts, percent, words)).isEmpty():
-            links = links.union(more)
-            comp = components(links)
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        if pairs.filter("cut").isEmpty():
+        if not (more := confirmed(new, n, texts, percent, words)).isEmpty():
+            links, n_links = links.union(more), n_links + n
+            comp = components(links, n_links)
+        if not cut:
             break
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
 
     # (set, its class, its component) for every row
     groups = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("comp", "id").alias("found"))

@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
         ids = on_disk(need.select("did", "ka", "nb").distinct())
         some = docs.join(light(ids, ids.count()), ["did", "ka", "nb"], "left_semi")
         cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("n") + length - 1)
-        pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", PIECE_ROWS)
+        pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", None, PIECE_ROWS)
         parts.append(shard_spans(pieces.filter(F.col("different") <= hot), length, shard_bytes))
         many = pieces.filter(F.col("different") > hot)
         if not many.isEmpty():
@@ -251,7 +251,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """
     text = whole_text(text_col)
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("ka"), F.octet_length(text).alias("nb")]
-    spans = compact(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans", PIECE_ROWS)
+    spans = compact(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans", None, PIECE_ROWS)
     n_spans = spans.select(F.sum(F.size("spans"))).first()[0] or 0
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(light(spans, n_spans, 16), ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
 

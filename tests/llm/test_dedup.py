@@ -133,8 +133,10 @@ def test_components(spark):
         for _ in up:
             for a, b in edges:
                 up[a] = up[b] = min(up[a], up[b])
-        got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-        assert got == {x: c for x, c in up.items() if x != c}
+        links = spark.createDataFrame(edges, "a long, b long")
+        for found in (components.components(links), components.by_stars(links)):
+            assert {r["node"]: r["comp"] for r in found.collect()} == {x: c for x, c in up.items() if x != c}
+    assert components.components(links.filter("false")).count() == components.by_stars(links.filter("false")).count() == 0
 
 
 def test_suffix_arrays():
