@@ -284,7 +284,8 @@ def apply_moves(plan: DataFrame, root: str) -> int:
     import os
 
     moved = 0
-    for r in plan.filter("action = 'move'").select("dir", "file_name", "target").toLocalIterator():
+    # all of the plan first: it reads the folder that is about to change, and is as long as one person's list
+    for r in plan.filter("action = 'move'").select("dir", "file_name", "target").collect():
         target = os.path.join(root, r["target"])
         if os.path.exists(target):
             continue
