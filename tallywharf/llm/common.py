@@ -68,6 +68,11 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, label: str, rows: int, row_bytes: int, file_bytes: int = 32_000_000) -> DataFrame:
+    """written() in files of about `file_bytes`, for a table of at most `rows` rows; its last step runs in as many tasks."""
+    return written(df.coalesce(rows * row_bytes // file_bytes + 1), label)
+
+
 def compact(df: DataFrame, label: str, most: int | None = None, file_rows: int = 2_000_000) -> DataFrame:
     """written() in files of `file_rows` rows, about: for tables far smaller than what they were made from. `most`: a known bound of its rows, else they are counted."""
     rows = df if most is not None else on_disk(df)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, light, on_disk, ship, whole_text, worker_table
+from .common import arrow_map, compact, in_files, light, on_disk, ship, whole_text, worker_table
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
@@ -100,8 +100,8 @@ def signature(sets: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def digests(batch_texts: list[str], words: int):
-    """(number of shingles, digest of the set, signature) for each text, a part at a time."""
+def digests(batch_texts: list[str], words: int, signed: bool = True):
+    """(number of shingles, digest of the set, signature if it is wanted) for each text, a part at a time."""
     lo = 0
     while lo < len(batch_texts):
         hi, size = lo, 0
@@ -109,7 +109,7 @@ def digests(batch_texts: list[str], words: int):
             size += len(batch_texts[hi])
             hi += 1
         for s in shingles(batch_texts[lo:hi], words):
-            yield len(s), blake2b(s.tobytes(), digest_size=16).digest(), signature(s) if len(s) else None
+            yield len(s), blake2b(s.tobytes(), digest_size=16).digest(), signature(s) if len(s) and signed else None
         lo = hi
 
 
@@ -155,11 +155,11 @@ def signed(col, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(n, HASHES)
 
 
-def sketches(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key, sig."""
+def sketches(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", with_sig: bool = True) -> DataFrame:
+    """doc_id, n_shingles, set_key, sig (null where it isn't wanted)."""
 
     def one(batch):
-        n, key, sig = zip(*digests(batch.column(1).to_pylist(), words), strict=True)
+        n, key, sig = zip(*digests(batch.column(1).to_pylist(), words, with_sig), strict=True)
         return {"doc_id": batch.column(0), "n_shingles": list(n), "set_key": list(key), "sig": list(sig)}
 
     return arrow_map(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), one, "doc_id long, n_shingles long, set_key binary, sig binary")
@@ -274,19 +274,22 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows_, bands = banding(percent / 100)
     least = least_matches(percent / 100)
-    base = on_disk(sketches(docs, words, id_col, text_col))
-    known = base.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    # the row that stands for a class, with its signature; the smallest digest stands for an id that has several
-    sigs = on_disk(known.join(classes.groupBy("id").agg(F.min("set_key").alias("set_key")).withColumnRenamed("id", "doc_id"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sig"))
+    n_docs = docs.count()
+    # one row for each set, with its smallest id. Shingles are worked out again at the end: cheaper than keeping a signature for each document meanwhile.
+    known = sketches(docs, words, id_col, text_col).filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    classes = in_files(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes", n_docs, 4 * HASHES)
+    sigs = classes.select("id", "sig")
+    n, n_ids = classes.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    if n > n_ids:  # ids that rows share: the smallest digest stands for one
+        sigs = classes.groupBy("id").agg(F.min_by("sig", "set_key").alias("sig"))
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * rows_) + 1, F.lit(4 * rows_))))
     banded = sigs.select("id", F.explode(keys).alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).filter("n > 1")
-    buckets = on_disk(banded.join(shared, "band"))
+    buckets = in_files(banded.join(shared, "band"), "buckets", n_docs, 4 * HASHES)
 
     # each member against the centre that it shares most bands with; against other centres only while they lie in other components
-    stars = on_disk(buckets.filter("id != center").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
+    stars = buckets.filter("id != center").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
     near = on_disk(pruned(first, sigs, least))
@@ -318,7 +321,8 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
 
     # (set, its class, its component) for every row
-    groups = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("comp", "id").alias("found"))
+    base = sketches(docs, words, id_col, text_col, with_sig=False).drop("sig")
+    groups = classes.select("set_key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("comp", "id").alias("found"))
     out = base.join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -326,7 +330,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
 
 def keep_first(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, as they are, that stay: one of each group; of rows that share a doc_id, one; all rows with a null doc_id."""
-    groups = compact(near_groups(docs, percent, words, id_col, text_col).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "kept")
+    groups = in_files(near_groups(docs, percent, words, id_col, text_col).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "kept", docs.count(), 16)
     named = docs.withColumn("_id", F.col(id_col).cast("long"))
     gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
     out = named.join(light(gone, gone.count()), "_id", "left_anti")
