@@ -18,6 +18,11 @@ CONFUSED, MEANT = "OILBSZ", "011852"
 LENGTH, FIRST_DIGIT = 11, 4
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once: an expression that is named several times would otherwise be repeated each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical(c: Column) -> Column:
     return F.upper(F.trim(c))
 
@@ -55,30 +60,31 @@ def valid_if_clean(c: Column) -> Column:
 def drop_extra_letter(raw: Column) -> Column:
     """A twelve-character code with an extra I after its first letter, without it, if that is valid; else null."""
     short = F.concat(F.substr(raw, F.lit(1), F.lit(1)), F.substr(raw, F.lit(3)))
-    return F.when((F.length(raw) == LENGTH + 1) & (F.substr(raw, F.lit(2), F.lit(1)) == "I") & is_valid(short), short)
+    return F.when((F.length(raw) == LENGTH + 1) & (F.substr(raw, F.lit(2), F.lit(1)) == "I"), let(short, lambda s: F.when(s.rlike(CODE) & valid_if_clean(s), s)))
 
 
 def guess_digits(raw: Column) -> Column:
     """The code with letters in its serial number taken for the digits they resemble, if that changes it and makes it valid; else null."""
     meant = F.concat(F.substr(raw, F.lit(1), F.lit(FIRST_DIGIT)), F.translate(F.substr(raw, F.lit(FIRST_DIGIT + 1)), CONFUSED, MEANT))
-    return F.when(raw.rlike("^[A-Z]{3}U") & (meant != raw) & is_valid(meant), meant)
+    return F.when(raw.rlike("^[A-Z]{3}U"), let(meant, lambda m: F.when((m != raw) & m.rlike(CODE) & valid_if_clean(m), m)))
 
 
 def digit_repairs(code: Column) -> Column:
     """All valid codes that differ from a well-formed one in one of the six serial digits; by place, then digit."""
-    c = canonical(code)
 
-    def with_digit(i: Column, d: Column) -> Column:
-        return F.concat(F.substr(c, F.lit(1), i), d.cast("string"), F.substr(c, i + 2))
+    def of(c: Column) -> Column:
+        def with_digit(i: Column, d: Column) -> Column:
+            return F.concat(F.substr(c, F.lit(1), i), d.cast("string"), F.substr(c, i + 2))
+
+        tries = F.flatten(F.transform(F.sequence(F.lit(FIRST_DIGIT), F.lit(9)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: with_digit(i, d))))
+        return F.when(c.rlike(CODE), F.filter(tries, lambda t: (t != c) & valid_if_clean(t))).otherwise(F.array().cast("array<string>"))
 
-    tries = F.flatten(F.transform(F.sequence(F.lit(FIRST_DIGIT), F.lit(9)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: with_digit(i, d))))
-    return F.when(c.rlike(CODE), F.filter(tries, lambda t: (t != c) & valid_if_clean(t))).otherwise(F.array().cast("array<string>"))
+    return let(canonical(code), of)
 
 
 def only_repair(code: Column) -> Column:
     """The repair of digit_repairs(), if there is just one."""
-    r = digit_repairs(code)
-    return F.when(F.size(r) == 1, F.get(r, F.lit(0)))
+    return let(digit_repairs(code), lambda r: F.when(F.size(r) == 1, F.get(r, F.lit(0))))
 
 
 def longest_shared_run(a: Column, b: Column) -> Column:

@@ -68,8 +68,7 @@ def joined(note: Column, addition: Column) -> Column:
 
 
 def with_reason(note: Column, reason: Column) -> Column:
-    why = humanised(reason)
-    return F.when(why == "", note).when(_none(note), why).when(F.contains(note, why), note).otherwise(F.concat(note, F.lit("；"), why))
+    return codes.let(humanised(reason), lambda why: F.when(why == "", note).when(_none(note), why).when(F.contains(note, why), note).otherwise(F.concat(note, F.lit("；"), why)))
 
 
 def shortened(note: Column) -> Column:
@@ -88,30 +87,39 @@ def display_code(status: Column, code: Column, review_code: Column) -> Column:
 
 def listed(values: Column, limit: int = LISTED) -> Column:
     """Distinct values parted by commas, the first `limit`, with their number if there are more."""
-    d = F.array_distinct(values)
-    shown = F.array_join(F.slice(d, 1, limit), ", ")
-    return F.when(F.size(d) > limit, F.concat(shown, F.lit(" 等 "), F.size(d).cast("string"), F.lit(" 个"))).otherwise(shown)
+
+    def of(d: Column) -> Column:
+        shown = F.array_join(F.slice(d, 1, limit), ", ")
+        return F.when(F.size(d) > limit, F.concat(shown, F.lit(" 等 "), F.size(d).cast("string"), F.lit(" 个"))).otherwise(shown)
+
+    return codes.let(F.array_distinct(values), of)
 
 
 def suspicious_note(words: Column) -> Column:
     """What looks like a code in the text, and what it may mean; null if nothing does."""
-    some, pairs = text.suspicious_candidates(words), text.guess_suggestions(words)
-    meant = F.when(F.size(pairs) == 1, F.get(pairs, F.lit(0))["repaired"]).otherwise(listed(F.transform(pairs, lambda p: F.concat(p["raw"], F.lit("->"), p["repaired"]))))
-    first = F.when(F.size(some) > 0, F.concat(F.lit("疑似候选: "), listed(some)))
-    second = F.when(F.size(pairs) > 0, F.concat(F.lit("可能修正: "), meant, F.lit("（未自动采用）")))
-    return F.when(first.isNotNull() | second.isNotNull(), F.concat_ws("；", first, second))
+
+
+    def second(pairs: Column) -> Column:
+        meant = F.when(F.size(pairs) == 1, F.get(pairs, F.lit(0))["repaired"]).otherwise(listed(F.transform(pairs, lambda p: F.concat(p["raw"], F.lit("->"), p["repaired"]))))
+        return F.when(F.size(pairs) > 0, F.concat(F.lit("可能修正: "), meant, F.lit("（未自动采用）")))
+
+    first = codes.let(text.suspicious_candidates(words), lambda some: F.when(F.size(some) > 0, F.concat(F.lit("疑似候选: "), listed(some))))
+    return F.nullif(F.concat_ws("；", first, codes.let(text.guess_suggestions(words), second)), F.lit(""))
 
 
 def conflict_note(code: Column, words: Column) -> Column:
-    some = text.suspicious_candidates(words)
-    return F.concat_ws("；", F.concat(F.lit("候选冲突，需人工复核: "), code), F.when(F.size(some) > 0, F.concat(F.lit("疑似候选: "), listed(some))))
+    first = F.concat(F.lit("候选冲突，需人工复核: "), code)
+    return codes.let(text.suspicious_candidates(words), lambda some: F.concat_ws("；", first, F.when(F.size(some) > 0, F.concat(F.lit("疑似候选: "), listed(some)))))
 
 
 def repair_note(code: Column) -> Column:
     """The single-digit repairs of a code; null if there are none."""
-    r = codes.digit_repairs(code)
-    one = F.concat(F.lit("疑似校验修正: "), code, F.lit(" -> "), F.get(r, F.lit(0)), F.lit("（待人工确认）"))
-    return F.when(F.size(r) == 1, one).when(F.size(r) > 1, F.concat(F.lit("多个疑似校验修正候选（未自动采用）: "), listed(r)))
+
+    def of(r: Column) -> Column:
+        one = F.concat(F.lit("疑似校验修正: "), code, F.lit(" -> "), F.get(r, F.lit(0)), F.lit("（待人工确认）"))
+        return F.when(F.size(r) == 1, one).when(F.size(r) > 1, F.concat(F.lit("多个疑似校验修正候选（未自动采用）: "), listed(r)))
+
+    return codes.let(codes.digit_repairs(code), of)
 
 
 def final_note(words: Column) -> Column:
@@ -120,8 +128,7 @@ def final_note(words: Column) -> Column:
 
 
 def invalid_note(code: Column, words: Column) -> Column:
-    repair, rest = repair_note(code), final_note(words)
-    return F.when(repair.isNull(), rest).when(rest.isNull(), repair).otherwise(F.concat(repair, F.lit("；"), rest))
+    return F.nullif(F.concat_ws("；", repair_note(code), final_note(words)), F.lit(""))
 
 
 def duplicate_note(code: Column, n: Column) -> Column:

@@ -53,7 +53,8 @@ def suspicious_candidates(text: Column) -> Column:
 
 def guess_suggestions(text: Column) -> Column:
     """Distinct (raw, repaired) where letters taken for digits make a valid code."""
-    pairs = F.transform(found(text, SUSPICIOUS), lambda c: F.struct(c.alias("raw"), codes.guess_digits(c).alias("repaired")))
+    able = F.filter(found(text, SUSPICIOUS), lambda c: c.rlike("^[A-Z]{3}U.*[OILBSZ]"))
+    pairs = F.transform(able, lambda c: F.struct(c.alias("raw"), codes.guess_digits(c).alias("repaired")))
     return F.array_distinct(F.filter(pairs, lambda p: p["repaired"].isNotNull()))
 
 
@@ -64,8 +65,7 @@ def guess_evidence(text: Column) -> Column:
 
 def guessed_code(text: Column) -> Column:
     """The only repaired code of guess_suggestions(), if there is just one."""
-    all_ = F.array_distinct(F.transform(guess_suggestions(text), lambda p: p["repaired"]))
-    return F.when(F.size(all_) == 1, F.get(all_, F.lit(0)))
+    return codes.let(F.array_distinct(F.transform(guess_suggestions(text), lambda p: p["repaired"])), lambda all_: F.when(F.size(all_) == 1, F.get(all_, F.lit(0))))
 
 
 def review_candidates(text: Column, code: Column) -> Column:
@@ -96,22 +96,27 @@ def score(context: Column, region: Column, repaired: bool) -> Column:
 
 def scored_matches(text: Column, region: Column, repaired: bool) -> Column:
     """Valid matches in order: struct(code, raw, start, stop, score, is_repaired); start and stop are places in the normalised text."""
-    n = normalised(text)
     pattern = EXTRA if repaired else CLEAN
-    m = F.regexp_extract_all(n, F.lit(pattern), F.lit(0))
-    between = F.split(n, pattern, -1)
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
 
-    def one(raw: Column, i: Column) -> Column:
-        start = length(F.slice(between, 1, i + 1)) + length(F.slice(m, 1, i))
-        stop = start + F.length(raw)
-        low = F.greatest(F.lit(0), start - CONTEXT)
-        plain = F.regexp_replace(raw, r"\s+", "")
-        code = codes.drop_extra_letter(plain) if repaired else F.when(codes.valid_if_clean(plain), plain)
-        context = F.substr(n, low + 1, stop + CONTEXT - low)
-        return F.struct(code.alias("code"), plain.alias("raw"), start.alias("start"), stop.alias("stop"), score(context, region, repaired).alias("score"), F.lit(repaired).alias("is_repaired"))
+    def of(n: Column) -> Column:
+        m = F.regexp_extract_all(n, F.lit(pattern), F.lit(0))
+        between = F.split(n, pattern, -1)
 
-    return F.filter(F.transform(m, one), lambda x: x["code"].isNotNull())
+        def one(raw: Column, i: Column) -> Column:
+            start = length(F.slice(between, 1, i + 1)) + length(F.slice(m, 1, i))
+            plain = F.regexp_replace(raw, r"\s+", "")
+            code = codes.drop_extra_letter(plain) if repaired else F.when(codes.valid_if_clean(plain), plain)
+            return F.struct(code.alias("code"), plain.alias("raw"), start.alias("start"), (start + F.length(raw)).alias("stop"))
+
+        def rated(x: Column) -> Column:
+            low = F.greatest(F.lit(0), x["start"] - CONTEXT)
+            points = codes.let(F.substr(n, low + 1, x["stop"] + CONTEXT - low), lambda c: score(c, region, repaired))
+            return F.struct(x["code"].alias("code"), x["raw"].alias("raw"), x["start"].alias("start"), x["stop"].alias("stop"), points.alias("score"), F.lit(repaired).alias("is_repaired"))
+
+        return F.transform(F.filter(F.transform(m, one), lambda x: x["code"].isNotNull()), rated)
+
+    return codes.let(normalised(text), of)
 
 
 def context_of(text: Column, start: Column, stop: Column) -> Column:

@@ -76,7 +76,7 @@ def fast_results(files: DataFrame, obs: DataFrame) -> DataFrame:
         obs.filter("stage = 'priority'").withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE).orderBy("seq"))).filter("_k <= 3").drop("_k")
     ).select("file_id", "page_no", "seq", "stage", "region_name", "psm", "text").repartition("file_id")
     frames = [*PAGE, "upto"]
-    pre = evidence.prefixes(rows)
+    pre = evidence.prefixes(evidence.prepared(rows))
     top = evidence.best(pre, frames)
     judged = top.join(evidence.conflicts(pre, top, frames), [*frames, "code"])
     shape = rows.groupBy(*PAGE).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.max(F.when(F.col("stage") == "full", F.col("seq"))).alias("full"))

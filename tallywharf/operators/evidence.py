@@ -15,9 +15,25 @@ PAGE = ["file_id", "page_no"]
 STRONG = 140
 
 
+def _matches() -> Column:
+    return F.concat(*(F.transform(text.scored_matches(F.col("text"), F.col("region_name"), r), lambda x, i: F.struct(i.alias("at"), x.alias("m"))) for r in (False, True)))
+
+
+READ = {"_matches": _matches, "_valid": lambda: text.candidates(F.col("text")), "_odd": lambda: text.suspicious_candidates(F.col("text"))}
+
+
+def prepared(obs: DataFrame) -> DataFrame:
+    """Observations with what was read in each text, so that rows which are repeated (in prefixes) or read by several steps aren't searched again."""
+    return obs.withColumns({k: make() for k, make in READ.items()})
+
+
+def reading(obs: DataFrame, name: str) -> Column:
+    return F.col(name) if name in obs.columns else READ[name]()
+
+
 def matches(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """keys, seq, at, code, raw, score, is_repaired, start, stop: valid matches, clear and repaired."""
-    both = F.concat(*(F.transform(text.scored_matches(F.col("text"), F.col("region_name"), r), lambda x, i: F.struct(i.alias("at"), x.alias("m"))) for r in (False, True)))
+    both = reading(obs, "_matches")
     return obs.select(*keys, "seq", F.explode(both).alias("x")).select(*keys, "seq", "x.at", "x.m.code", "x.m.raw", "x.m.score", "x.m.is_repaired", "x.m.start", "x.m.stop")
 
 
@@ -48,14 +64,14 @@ def ranked(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
 def supports(obs: DataFrame, keys: list[str] = PAGE, region: Column | None = None) -> DataFrame:
     """keys, code, n_regions: in how many different regions a valid code was read."""
     r = F.col("region_name") if region is None else region
-    each = obs.select(*keys, r.alias("_region"), F.explode(text.candidates(F.col("text"))).alias("code"))
+    each = obs.select(*keys, r.alias("_region"), F.explode(reading(obs, "_valid")).alias("code"))
     return each.groupBy(*keys, "code").agg(F.count_distinct("_region").cast("int").alias("n_regions"))
 
 
 def suspicions(obs: DataFrame, keys: list[str] = PAGE, region: Column | None = None) -> DataFrame:
     """keys, candidate, n_regions of suspicious readings."""
     r = F.col("region_name") if region is None else region
-    each = obs.select(*keys, r.alias("_region"), F.explode(text.suspicious_candidates(F.col("text"))).alias("candidate"))
+    each = obs.select(*keys, r.alias("_region"), F.explode(reading(obs, "_odd")).alias("candidate"))
     return each.groupBy(*keys, "candidate").agg(F.count_distinct("_region").cast("int").alias("n_regions"))
 
 
@@ -94,7 +110,7 @@ def prefixes(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
 def stops(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """keys, stop: the first prefix, longer than its first observation, whose best code is clear, read in two regions and without conflict."""
     frames = [*keys, "upto"]
-    p = prefixes(obs, keys)
+    p = prefixes(prepared(obs), keys)
     top = best(p, frames)
     held = top.join(conflicts(p, top, frames), [*frames, "code"])
     first = obs.groupBy(*keys).agg(F.min("seq").alias("_first"))
