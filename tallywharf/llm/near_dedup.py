@@ -7,8 +7,8 @@ Buckets never give all their pairs. First, each member is paired with the smalle
 in other components. A pair's signatures are compared a batch at
 a time, and the pair is pruned once the posterior probability that its similarity reaches the threshold (uniform prior, so a binomial tail) falls below `MISS`;
 survivors are confirmed on the full shingle sets, recomputed from the texts concerned. Components follow, and only buckets whose members still lie in
-different components go on: there, members of different components are compared signature against signature in blocks of bounded size, inside tasks that
-return survivors only, the likeliest of any two components first. So no link is left out for the size of a bucket: a pair that shares a band is compared, unless its members are in one component already.
+different components go on: there, members of different components are compared signature against signature in blocks of bounded size, and survivors are confirmed, inside tasks that
+return links only, as many as join what belongs together. So no link is left out for the size of a bucket: a pair that shares a band is compared, unless its members are in one component already.
 A link at the threshold shares no band with a probability below `LOST`.
 
 Defined results: null text is empty; a set without shingles is linked with nothing; fewer words than `words` make one shingle; rows with a
@@ -31,8 +31,8 @@ from .components import components
 WORDS, HASHES, BATCH = 5, 192, 32
 #: Probability of pruning a pair at the threshold, and of a link at the threshold that shares no band.
 MISS, LOST = 1e-9, 1e-6
-#: Members of a block of a bucket; likeliest pairs of two components that a block gives at a time (None: all).
-BLOCK, TOPS = 1024, (1, 32, None)
+#: Members of a block of a bucket.
+BLOCK = 512
 #: Bytes of text that are shingled at once.
 PART = 1_500_000
 
@@ -178,11 +178,20 @@ def pruned(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
     return arrow_map(both.select("a", "b", "sa", "sb"), one, "a long, b long, agree long", PART)
 
 
-def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int], top: int | None) -> DataFrame:
-    """members: band, id, comp, n. Pairs (a > b) of one bucket and different components that the batches leave; `cut` tells that a cell has more of its two components.
+def shared_with(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with each of several sets."""
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    ends = np.cumsum([len(x) for x in sets])
+    hits = np.concatenate([[0], np.cumsum(own[at] == flat)])
+    return hits[ends] - hits[ends - [len(x) for x in sets]]
 
-    A bucket of up to BLOCK members is one cell; a larger one is dealt to blocks, and each pair of blocks is a cell. A cell compares its pairs within its
-    task, a row against all later components at a time, and returns the `top` likeliest pairs of any two components (None: all that survive).
+
+def block_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: list[int], percent: int, rows_: int) -> DataFrame:
+    """members: band, k (which band), id, comp, n. Links (a > b) between different components of a bucket, as many as join what belongs together.
+
+    A bucket of up to BLOCK members is one cell; a larger one is dealt to blocks, and each pair of blocks is a cell. Within its task a cell compares each row's signature with those of all
+    later components, leaves out pairs that share an earlier band (another cell has them), and confirms survivors on the full sets, the likeliest first, unless links found before join the two.
     """
     import pyarrow as pa
 
@@ -190,46 +199,53 @@ def block_pairs(members: DataFrame, sigs: DataFrame, least: list[int], top: int
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = members.select("band", "id", "comp", own.alias("own"), F.explode(cells).alias("cell")).join(sigs.select("id", "sig"), "id")
+    rows = members.select("band", "k", "id", "comp", own.alias("own"), F.explode(cells).alias("cell")).join(sigs.select("id", "sig"), "id").join(sets.select("id", "s"), "id")
 
     def run(group):
         n = group.num_rows
         order = np.argsort(group.column("comp").to_numpy(), kind="stable")
         ids, comps, own_ = (group.column(c).to_numpy()[order] for c in ("id", "comp", "own"))
         sig = signed(group.column("sig"), n)[order]
-        cell = group.column("cell")[0].as_py()
+        full = group.column("s").to_pylist()
+        full = [np.frombuffer(full[i], np.uint64) for i in order.tolist()]
+        cell, k = group.column("cell")[0].as_py(), group.column("k")[0].as_py()
         starts = np.flatnonzero(np.concatenate([[True], comps[1:] != comps[:-1]]))
         number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-        parts = []
+        up = np.arange(len(starts))  # components joined so far
+        a, b = [], []
         for at in range(n):
             later = starts[number[at] + 1] if number[at] + 1 < len(starts) else n
             rest = np.arange(later, n)
             if cell["i"] != cell["j"]:
                 rest = rest[own_[rest] != own_[at]]
-            if len(rest):
-                agree = survive(np.broadcast_to(sig[at], (len(rest), HASHES)), sig[rest], least)
-                on = np.flatnonzero(agree >= 0)
-                if len(on):
-                    parts.append(np.stack([np.full(len(on), at), rest[on], agree[on]]))
-        x, y, agree = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
-        cut = np.zeros(len(x), bool)
-        if top is not None and len(x):
-            pair = number[x] * len(starts) + number[y]
-            by = np.lexsort((-agree, pair))
-            first = np.flatnonzero(np.concatenate([[True], np.diff(pair[by]) != 0]))
-            size = np.diff(np.append(first, len(by)))
-            rank = np.arange(len(by)) - np.repeat(first, size)
-            cut = np.repeat(size > top, size)[rank < top]
-            x, y = x[by[rank < top]], y[by[rank < top]]
-        a, b = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array(cut)})
-
-    return rows.groupBy("band", "cell").applyInArrow(run, "a long, b long, cut boolean")
-
-
-def confirmed(pairs: DataFrame, most: int, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Of pairs (a, b), a kept table of at most `most` rows, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            rest = rest[up[number[rest]] != up[number[at]]]
+            if not len(rest):
+                continue
+            agree = survive(np.broadcast_to(sig[at], (len(rest), HASHES)), sig[rest], least)
+            rest, agree = rest[agree >= 0], agree[agree >= 0]
+            if k and len(rest):
+                same = (sig[rest, : k * rows_] == sig[at, : k * rows_]).reshape(len(rest), k, rows_).all(2).any(1)
+                rest, agree = rest[~same], agree[~same]
+            rest = rest[np.argsort(-agree, kind="stable")]
+            for lo in range(0, len(rest), 64):
+                part = rest[lo : lo + 64]
+                part = part[up[number[part]] != up[number[at]]]
+                if not len(part):
+                    continue
+                inter = shared_with(full[at], [full[i] for i in part.tolist()])
+                union = len(full[at]) + np.array([len(full[i]) for i in part.tolist()]) - inter
+                for r in part[100 * inter >= percent * union].tolist():
+                    x, y = up[number[at]], up[number[r]]
+                    if x != y:
+                        a.append(max(ids[at], ids[r])), b.append(min(ids[at], ids[r]))
+                        up[up == max(x, y)] = min(x, y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("band", "cell").applyInArrow(run, "a long, b long")
+
+
+def full_sets(ids: DataFrame, most: int, texts: DataFrame, words: int) -> DataFrame:
+    """id, s: the shingle sets of documents in `ids` (distinct, at most `most`), from their texts; for an id that rows share, the one of smallest digest."""
 
     def sets(batch):
         texts_, out, lo = batch.column(1).to_pylist(), [], 0
@@ -242,8 +258,13 @@ def confirmed(pairs: DataFrame, most: int, texts: DataFrame, percent: int, words
             lo = hi
         return {"id": batch.column(0), "s": out, "key": [blake2b(s, digest_size=16).digest() for s in out]}
 
-    full = arrow_map(texts.select("id", "text").join(light(ids, 2 * most), "id", "left_semi"), sets, "id long, s binary, key binary")
-    full = full.groupBy("id").agg(F.min_by("s", "key").alias("s"))
+    full = arrow_map(texts.select("id", "text").join(light(ids, most), "id", "left_semi"), sets, "id long, s binary, key binary")
+    return full.groupBy("id").agg(F.min_by("s", "key").alias("s"))
+
+
+def confirmed(pairs: DataFrame, most: int, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Of pairs (a, b), a kept table of at most `most` rows, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * most, texts, words)
 
     def same(batch):
         on = []
@@ -284,7 +305,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
         sigs = classes.groupBy("id").agg(F.min_by("sig", "set_key").alias("sig"))
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * rows_) + 1, F.lit(4 * rows_))))
-    banded = sigs.select("id", F.explode(keys).alias("band"))
+    banded = sigs.select("id", F.posexplode(keys).alias("k", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).filter("n > 1")
     buckets = in_files(banded.join(shared, "band"), "buckets", n_docs, 4 * HASHES)
 
@@ -302,23 +323,16 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
         links, n_links = links.union(more), n_links + n
         comp = components(links, n_links)
 
-    # buckets that still hold several components besides their centre: first the likeliest pair of any two components, then more, then all
-    tested = None
-    for top in TOPS:
-        held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
-        members = held.join(open_, "band", "left_semi").select("band", "id", "comp", "n")
-        pairs = on_disk(block_pairs(members, sigs, least, top).groupBy("a", "b").agg(F.max("cut").alias("cut")))
-        n, cut = pairs.agg(F.count(F.lit(1)), F.max("cut")).first()
-        if not n:
-            break
-        new = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        if not (more := confirmed(new, n, texts, percent, words)).isEmpty():
-            links, n_links = links.union(more), n_links + n
-            comp = components(links, n_links)
-        if not cut:
-            break
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+    # buckets that still hold several components besides their centre
+    held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
+    members = on_disk(held.join(open_, "band", "left_semi").select("band", "k", "id", "comp", "n"))
+    n = members.count()
+    if n:
+        sets = full_sets(members.select("id").distinct(), n, texts, words)
+        more = compact(block_links(members, sigs, sets, least, percent, rows_), "links", n)
+        if not more.isEmpty():
+            comp = components(links.union(more), n_links + n)
 
     # (set, its class, its component) for every row
     base = sketches(docs, words, id_col, text_col, with_sig=False).drop("sig")
