@@ -32,7 +32,7 @@ def flat(c) -> F.Column:
     return F.coalesce(F.array_join(c, " "), F.lit(""))
 
 
-t = F.col("text")
+t = "text"  # by name: no column can be made before there is a session
 
 # -- scalar operators on codes and text --------------------------------------------------------------------------------
 
