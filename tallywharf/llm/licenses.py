@@ -1,7 +1,7 @@
 """License scans by sentence rules (operator 5, native).
 
-A text is cut into sentences, sentences are normalised, and each is mapped to a known licence-sentence identifier (a few
-regular expressions, `SENTENCES`). A document's identifiers in order form a sequence, which is matched against the ordered
+Wrapped lines are joined into paragraphs, without comment marks; known sentences, which start and end where a sentence or a line does, are
+found in them in order and mapped to identifiers (a few regular expressions: `SENTENCES`, widened by `_WIDER` and `_WITHIN`). A document's identifiers in order form a sequence, which is matched against the ordered
 licence rules (`RULES`): the first rule whose pattern occurs in the sequence gives a licence, its identifiers are used up, and the
 rules go on with the rest; so a longer rule wins over the shorter rules within it. Identifiers that no rule uses are reported as unknown.
 
@@ -70,30 +70,69 @@ RULES = [
 
 #: Words of which every known sentence has one; other sentences are not looked at further.
 HINTS = "licen[sc]e|permission|copyright|software|rights reserved|redistribut|extent possible|cc0"
-#: A sentence ends at a line end, or at a mark followed by blanks (where a line end is put).
+#: In the SQL a sentence ends at a line end, or at a mark followed by blanks (where a line end is put).
 MARK_END = r"([.!?;])[ \t]+"
 COMMENT = r"^[ #*/;-]+|[ .!?;*/]+$"
 
 
-def sentences(text: Column) -> Column:
-    """The text's sentences that may be known: lower case, single blanks, without comment marks and the final mark."""
-    cut = F.filter(F.split(F.regexp_replace(text, MARK_END, "$1\n"), r"[\n\r]+", -1), lambda s: s.rlike("(?i)" + HINTS))
-    return F.transform(cut, lambda s: F.regexp_replace(F.regexp_replace(ascii_lower(s), r"[ \t]+", " "), COMMENT, ""))
+# What the operator reads beyond SENTENCES and RULES, which the SQL is made from. A blank in a form is a blank or the end of a wrapped line.
+_ANY, _Q = r"(?:[^\n]|\n(?!\n)){1,80}", "[\"'`“”‘’]{0,2}"
+_GIVEN = rf"(?:(?:(?:this|these|the|all|our) {_ANY}|it) (?:is|are) )?(?:licensed|released|distributed|published|(?:made )?available) under (?:a |the )?(?:terms (?:and conditions )?of the )?"
+_TAIL = r"(?:,? (?:-|–|—|see|\(see) .*)?"
+_WIDER = {
+    "APACHE2_REF": rf"{_GIVEN}apache(?: software)? licen[sc]e,? ?(?:(?:version |v)?2(?:\.0)?)?(?: \(the {_Q}license{_Q}\))?{_TAIL}",
+    "ASIS_LAW": rf"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an {_Q}as is{_Q} basis.*",
+    "MIT_REF": rf"{_GIVEN}mit licen[sc]e{_TAIL}",
+    "ASIS_MIT": rf"the software is provided {_Q}as is{_Q},? without warranty of any kind.*",
+    "GPL3_REF": rf"{_GIVEN}gnu general public licen[sc]e,? (?:v|version )3(?:\.0)?{_TAIL}",
+    "GPL2_REF": rf"{_GIVEN}gnu general public licen[sc]e,? (?:v|version )2(?:\.0)?{_TAIL}",
+    "LGPL_REF": rf"{_GIVEN}gnu (?:lesser|library) general public licen[sc]e.*",
+    "BSD_REF": rf"{_GIVEN}(?:2-clause |3-clause |new |modified |simplified )?bsd licen[sc]e{_TAIL}",
+    "CC_BY_NC4_REF": rf"{_GIVEN}(?:cc by-nc|creative commons attribution-noncommercial) 4\.0(?: international)?(?: license)?{_TAIL}",
+    "CC_BY_SA4_REF": rf"{_GIVEN}(?:cc by-sa|creative commons attribution-sharealike) 4\.0(?: international)?(?: license)?{_TAIL}",
+    "CC_BY4_REF": rf"{_GIVEN}(?:cc by|creative commons attribution) 4\.0(?: international)?(?: license)?{_TAIL}",
+    "CC0_REF": rf"(?:to the extent possible under law,? .*|{_GIVEN}cc0(?: 1\.0)?.*)",
+}
+#: Found within a sentence too: the GPL's notice is one sentence that grants, names the version and goes on.
+_WITHIN = {
+    "GPL_REDIST": r"you can redistribute it and/or modify it under the terms of the gnu general public license",
+    "LGPL_REDIST": r"you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license",
+    "GPL_LATER": r"either version 3 of the license,? or \(at your option\) any later version",
+    "GPL2_LATER": r"either version 2 of the license,? or \(at your option\) any later version",
+}
+_WRAPPED = {name: form.replace(" ", r"[ \n]") for name, form in ({n: _WIDER.get(n, p) for n, p in SENTENCES if n not in _WITHIN} | _WITHIN).items()}
+_KNOWN = rf"(?d)(?:(?:^|(?<=\n))(?:{'|'.join(_WRAPPED[n] for n in _WRAPPED if n not in _WITHIN)})(?=\n|\z)|\b(?:{'|'.join(_WRAPPED[n] for n in _WITHIN)})\b)"
+_SIGNS = HINTS + r"|reserved|extent|creative|\bcc\b"
+_OWNED = ["COPYRIGHT", "ALL_RIGHTS"]  # before a grant these two are part of its notice
+_RULES = [
+    (name, [*before, *ids])
+    for name, ids in [("GPL-2.0-or-later", ["GPL_REDIST", "GPL2_LATER"]), ("LGPL", ["LGPL_REDIST"]), *RULES]
+    for before in ([_OWNED, []] if ids != _OWNED else [[]])
+]
+
+
+def paragraphs(text: Column) -> Column:
+    """The text in lower case with single blanks, without comment marks; one line end where a line is wrapped, more where a sentence or paragraph ends."""
+    t = F.regexp_replace(F.regexp_replace(ascii_lower(text), r"\r\n?", "\n"), r"[ \t]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?md)^[ #*/;%<>!|-]+", ""), r"([.!?;]) [ #*/;-]*", "$1\n\n")
+    t = F.regexp_replace(t, r"(?<![.!?;*/ ])[*/ ]*+[.!?;][.!?;*/ ]*+(?=\n|\z)", "\n")
+    return F.regexp_replace(t, r"(?<![*/ ])[*/ ]++(?=\n|\z)", "")
 
 
 def identifier(sentence: Column) -> Column:
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
-        out = F.when(sentence.rlike(f"^(?:{pattern})$"), name).otherwise(out)
+    for name, form in reversed(_WRAPPED.items()):
+        out = F.when(sentence.rlike(rf"(?d)\A(?:{form})\z"), name).otherwise(out)
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_sentences (known ones), sentence_ids in order, licenses (distinct, in rule order), n_unused."""
     # most texts hold no hint at all and are done with one search
-    ids = F.when(F.col("t").rlike("(?i)" + HINTS), F.filter(F.transform(sentences(F.col("t")), identifier), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(paragraphs(F.col("t")), F.lit(_KNOWN), F.lit(0))
+    ids = F.when(F.col("t").rlike("(?i)" + _SIGNS), F.transform(found, identifier)).otherwise(F.array().cast("array<string>"))
     held = docs.select(F.col(id_col), whole_text(text_col).alias("t")).select(id_col, ids.alias("ids"))
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f",{x}," for x in rule)).alias("ids")) for name, rule in RULES))
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f",{x}," for x in rule)).alias("ids")) for name, rule in _RULES))
     start = F.struct(F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def use(state: Column, rule: Column) -> Column:
@@ -114,7 +153,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def scan_sql() -> str:
-    """DuckDB SQL with the rows of scan() over `documents`."""
+    """DuckDB SQL with the rows of scan() over `documents` whose notices have a sentence on each line; it doesn't read wrapped or wider ones."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"

@@ -50,6 +50,73 @@ def test_licences(spark):
     assert licenses.scan(df.filter("false")).count() == 0
 
 
+APACHE = """
+   Copyright 2020 A. Person
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_wrapped_licence_notices(spark):
+    def marked(text, before, after=""):
+        return "\n".join(f"{before}{x}{after}".rstrip() for x in text.split("\n"))
+
+    old_gpl = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
+    notices = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD"), (GPL, "GPL-3.0-or-later"), (old_gpl, "GPL-2.0-or-later"), (GPL.replace("GNU General", "GNU Lesser General"), "LGPL")]
+    want = []
+    for text, licence in notices:
+        joined = "\n\n".join(" ".join(x.split()) for x in text.split("\n\n"))
+        for form in (text, joined, text.replace("\n", "\r\n"), marked(text, "# "), marked(text, " * "), marked(text, ";; "), "/*\n" + marked(text, " * ", "  ") + "\n */", "code();\n" + text + "\nmore"):
+            want.append((form, licence))
+    names = {
+        "Apache License, Version 2.0": "Apache-2.0", "MIT License": "MIT", "GNU General Public License v3.0": "GPL-3.0", "GNU General Public License, version 2": "GPL-2.0",
+        "GNU Lesser General Public License": "LGPL", "BSD license": "BSD", "CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC0 1.0": "CC0-1.0",
+    }
+    for name, licence in names.items():
+        for form in ("Licensed under the {}.", "This project is licensed under the {}.", "The files of this\nwork are released under the\n{}.", "It is distributed under the terms of the {}."):
+            want.append((form.format(name), licence))
+    want += [("This is not licensed under the MIT License.", ""), ("Licensed under the\n\nMIT License.", ""), ("." * 200_000 + " license\n" + " */" * 50_000 + "x", "")]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t for t, _ in want)), "doc_id long, text string")).collect()
+    assert [(t, w, r["licenses"]) for r in got for t, w in [want[r["doc_id"]]] if r["licenses"] != w] == []
+    assert len(got) == len(want)
+
+
 def test_forward_backward_matches_enumeration():
     from itertools import product
 
