@@ -7,7 +7,8 @@ document's quality is the mean of its lines' forward-backward marginals for "goo
 logistic curve with two parameters, fitted on the same sample.
 
 Training uses at most `SAMPLE` labelled rows, the smallest by hash of doc_id among those outside the held-out fold
-(crc32 of doc_id as text, modulo 5 = 0), so the driver holds a bounded sample; scoring covers every row. Labels, language, source and id are no
+(crc32 of doc_id as text, modulo 5 = 0) whose texts fit into `SAMPLE_BYTES` characters, so the driver holds a bounded sample; a text that doesn't fit is left out
+and the next ones are tried, and if that leaves one label only, each label has half. Scoring covers every row. Labels, language, source and id are no
 inputs. Lines are scored over all of a text, whatever its length.
 
 Defined results: null text counts as empty; an empty text is one empty line; without any labelled row every score is 0.5; repeated
@@ -198,19 +199,37 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
+def chosen(rows: list, sample: int, left: int) -> list:
+    """Of rows (hash, doc_id, _y, n, x) in order, the first `sample` whose lengths n fit into `left`; half of both for each label where that has one label only."""
+
+    def fill(rows: list, most: int, left: int) -> list:
+        out = []
+        for r in rows:
+            if len(out) < most and r["n"] <= left:
+                out.append(r)
+                left -= r["n"]
+        return out
+
+    got = fill(rows, sample, left)
+    return got if len({r["_y"] for r in got}) > 1 else [r for y in (0, 1) for r in fill([r for r in rows if r["_y"] == y], sample // 2, left // 2)]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits on at most `sample` labelled rows outside the held-out fold."""
+    """Fits on at most `sample` labelled rows outside the held-out fold. Lengths are looked at first; only texts within SAMPLE_BYTES characters leave the executors."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_y")]
     known = labels.filter(F.col("quality").isin(0, 1) & (fold() != 0)).select("doc_id", F.col("quality").alias("_y")).distinct()
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)  # a top-k: bounded rows whatever the table
-    rows = docs.select(F.col("doc_id"), whole_text().alias("text")).join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample).collect()
-    texts, y, left = [], [], SAMPLE_BYTES
-    for r in rows:
-        left -= len(r["text"])
-        if left < 0 and texts:
-            break
-        texts.append(r["text"])
-        y.append(r["_y"])
-    return fit(texts, y)
+    few = known.filter("_y = 0").orderBy(*order).limit(sample).union(known.filter("_y = 1").orderBy(*order).limit(sample))  # a top-k: bounded rows whatever the table
+    held = docs.select(F.col("doc_id"), whole_text().alias("text"))
+    sizes = held.join(F.broadcast(few), "doc_id").select("doc_id", "_y", F.char_length("text").alias("n"), F.xxhash64("text").alias("x"))
+    least = sizes.groupBy("doc_id", "_y").agg(F.min(F.struct("n", "x")).alias("t"))  # of texts that share an id, the shortest
+    rows = least.select(order[0].alias("hash"), "doc_id", "_y", "t.n", "t.x").collect()
+    got = chosen(sorted(rows, key=lambda r: (r["hash"], r["doc_id"], r["_y"])), sample, SAMPLE_BYTES)
+    if not got:
+        return None
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["x"]) for r in got], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x long").distinct())
+    texts = held.join(wanted, "doc_id").filter(F.xxhash64("text") == F.col("x")).groupBy("doc_id").agg(F.first("text").alias("text")).collect()
+    texts = {r["doc_id"]: r["text"] for r in texts}
+    return fit([texts[r["doc_id"]] for r in got], [r["_y"] for r in got])
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from hashlib import sha256
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallywharf.llm import licenses, quality, topk
 from tallywharf.llm.common import table
@@ -153,6 +154,23 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score_documents(docs.filter("false"), model).count() == 0
 
 
+def test_overlong_texts_leave_room_for_both_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 20_000)
+    rows = [(i, ("plain words of a text here\n" if i % 2 else "$$$ ### || %%%\n") * 5, i % 2) for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    first = docs.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    long_ = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 1000)).otherwise(F.col("text")))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, y: seen.append((texts, y)))
+    quality.train(long_, docs.select("doc_id", "quality"))
+    assert len(seen[-1][0]) == len(rows) - 1 and set(seen[-1][1]) == {0, 1} and max(map(len, seen[-1][0])) < 1000
+    # one label comes first by hash and would fill the sample
+    order = [r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id")).collect()]
+    labels = spark.createDataFrame([(i, int(k > 30)) for k, i in enumerate(order)], "doc_id long, quality int")
+    quality.train(docs, labels, sample=10)
+    assert sorted(seen[-1][1]) == [0] * 5 + [1] * 5
+
+
 def test_pipeline_matches_its_parts_done_by_hand(spark):
     import corpus_pipeline
     from test_dedup import lines_by_hand, near_by_hand, substrings_by_hand
