@@ -12,8 +12,8 @@ return links only, as many as join what belongs together. So no link is left out
 A link at the threshold shares no band with a probability below `LOST`.
 
 Defined results: null text is empty; a set without shingles is linked with nothing; fewer words than `words` make one shingle; rows with a
-null doc_id take no part (component null, kept); rows that share a doc_id are one document, which the row with the smallest set digest stands for in the search; an
-empty table gives no rows.
+null doc_id take no part (component null, kept); rows that share a doc_id are searched and grouped each by its own set (groups whose smallest id is the same then show
+the same component_id); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, in_files, light, on_disk, ship, whole_text, worker_table
+from .common import arrow_map, compact, in_files, light, on_disk, ship, whole_text, worker_table, written
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
@@ -244,8 +244,8 @@ def block_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: lis
     return rows.groupBy("band", "cell").applyInArrow(run, "a long, b long")
 
 
-def full_sets(ids: DataFrame, most: int, texts: DataFrame, words: int) -> DataFrame:
-    """id, s: the shingle sets of documents in `ids` (distinct, at most `most`), from their texts; for an id that rows share, the one of smallest digest."""
+def full_sets(ids: DataFrame, most: int, texts: DataFrame, words: int, names: DataFrame | None = None) -> DataFrame:
+    """id, s: the shingle sets of documents in `ids` (distinct, at most `most`), from their texts. names (id, doc, set_key): where rows share a doc_id, what ids stand for."""
 
     def sets(batch):
         texts_, out, lo = batch.column(1).to_pylist(), [], 0
@@ -258,13 +258,17 @@ def full_sets(ids: DataFrame, most: int, texts: DataFrame, words: int) -> DataFr
             lo = hi
         return {"id": batch.column(0), "s": out, "key": [blake2b(s, digest_size=16).digest() for s in out]}
 
-    full = arrow_map(texts.select("id", "text").join(light(ids, most), "id", "left_semi"), sets, "id long, s binary, key binary")
+    named = None if names is None else names.join(light(ids, most), "id", "left_semi")
+    docs = ids if named is None else named.select(F.col("doc").alias("id")).distinct()
+    full = arrow_map(texts.select("id", "text").join(light(docs, most), "id", "left_semi"), sets, "id long, s binary, key binary")
+    if named is not None:
+        full = full.join(named.select(F.col("id").alias("own"), F.col("doc").alias("id"), F.col("set_key").alias("key")), ["id", "key"]).select(F.col("own").alias("id"), "s", "key")
     return full.groupBy("id").agg(F.min_by("s", "key").alias("s"))
 
 
-def confirmed(pairs: DataFrame, most: int, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Of pairs (a, b), a kept table of at most `most` rows, those with 100 * intersection >= percent * union on full sets. texts: id, text."""
-    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * most, texts, words)
+def confirmed(pairs: DataFrame, most: int, texts: DataFrame, percent: int, words: int, names: DataFrame | None = None) -> DataFrame:
+    """Of pairs (a, b), a kept table of at most `most` rows, those with 100 * intersection >= percent * union on full sets. texts: id, text; names as in full_sets()."""
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * most, texts, words, names)
 
     def same(batch):
         on = []
@@ -291,18 +295,20 @@ def across(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
     return held.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def near_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """For each set of shingles: set_key, root (its group), found (the smallest doc_id of the group)."""
     rows_, bands = banding(percent / 100)
     least = least_matches(percent / 100)
     n_docs = docs.count()
     # one row for each set, with its smallest id. Shingles are worked out again at the end: cheaper than keeping a signature for each document meanwhile.
     known = sketches(docs, words, id_col, text_col).filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = in_files(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes", n_docs, 4 * HASHES)
-    sigs = classes.select("id", "sig")
+    names = None
     n, n_ids = classes.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
-    if n > n_ids:  # ids that rows share: the smallest digest stands for one
-        sigs = classes.groupBy("id").agg(F.min_by("sig", "set_key").alias("sig"))
+    if n > n_ids:  # rows share ids: a class goes by a number of its own
+        classes = written(classes.withColumnRenamed("id", "doc").withColumn("id", F.monotonically_increasing_id()), "classes")
+        names = classes.select("id", "doc", "set_key")
+    sigs = classes.select("id", "sig")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * rows_) + 1, F.lit(4 * rows_))))
     banded = sigs.select("id", F.posexplode(keys).alias("k", "band"))
@@ -315,11 +321,11 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
     near = on_disk(pruned(first, sigs, least))
     n_links = near.count()
-    links = confirmed(near, n_links, texts, percent, words)
+    links = confirmed(near, n_links, texts, percent, words, names)
     comp = components(links, n_links)
     near = on_disk(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least))
     n = near.count()
-    if n and not (more := confirmed(near, n, texts, percent, words)).isEmpty():
+    if n and not (more := confirmed(near, n, texts, percent, words, names)).isEmpty():
         links, n_links = links.union(more), n_links + n
         comp = components(links, n_links)
 
@@ -329,26 +335,48 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     members = on_disk(held.join(open_, "band", "left_semi").select("band", "k", "id", "comp", "n"))
     n = members.count()
     if n:
-        sets = full_sets(members.select("id").distinct(), n, texts, words)
+        sets = full_sets(members.select("id").distinct(), n, texts, words, names)
         more = compact(block_links(members, sigs, sets, least, percent, rows_), "links", n)
         if not more.isEmpty():
             comp = components(links.union(more), n_links + n)
 
-    # (set, its class, its component) for every row
-    base = sketches(docs, words, id_col, text_col, with_sig=False).drop("sig")
-    groups = classes.select("set_key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("comp", "id").alias("found"))
-    out = base.join(groups, "set_key", "left")
+    # (set, its class, its component)
+    root = F.coalesce("comp", "id")
+    if names is None:
+        return classes.select("set_key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", root.alias("root"), root.alias("found"))
+    groups = names.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", "doc", root.alias("root"))
+    return groups.select("set_key", "root").join(groups.groupBy("root").agg(F.min("doc").alias("found")), "root").select("set_key", "root", "found")
+
+
+def placed(docs: DataFrame, groups: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of near_groups() from those of near_sets()."""
+    out = sketches(docs, words, id_col, text_col, with_sig=False).drop("sig").join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return placed(docs, near_sets(docs, percent, words, id_col, text_col), words, id_col, text_col)
+
+
 def keep_first(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, as they are, that stay: one of each group; of rows that share a doc_id, one; all rows with a null doc_id."""
-    groups = in_files(near_groups(docs, percent, words, id_col, text_col).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "kept", docs.count(), 16)
+    """The rows of `docs`, as they are, that stay: one of each group, and all rows with a null doc_id. Rows that share a doc_id stay or go each with its own group."""
+    sets = near_sets(docs, percent, words, id_col, text_col)
+    groups = in_files(placed(docs, sets, words, id_col, text_col).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "kept", docs.count(), 16)
     named = docs.withColumn("_id", F.col(id_col).cast("long"))
     gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
     out = named.join(light(gone, gone.count()), "_id", "left_anti")
-    often = groups.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
-    if not often.isEmpty():  # ids that rows share
-        out = out.join(often, "_id", "left_anti").unionByName(out.join(often, "_id", "left_semi").dropDuplicates(["_id"]))
+    often = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("some")).filter("n > 1 and some").select("_id")
+    if not often.isEmpty():  # ids that rows share: their texts tell which group a row is of
+        shared = named.join(often, "_id", "left_semi").withColumn("_text", F.sha2(whole_text(text_col), 256))
+
+        def keyed(batch):
+            n, key, _ = zip(*digests(batch.column(1).to_pylist(), words, False), strict=True)
+            return {"_text": batch.column(0), "_n": list(n), "set_key": list(key)}
+
+        keys = arrow_map(shared.select("_text", whole_text(text_col)), keyed, "_text string, _n long, set_key binary").distinct()
+        of = keys.join(sets, "set_key", "left").select("_text", "_n", "root", "found")
+        stay = shared.join(of, "_text").filter("_n = 0 or _id = found").dropDuplicates(["_id", "root"])
+        out = out.join(often, "_id", "left_anti").unionByName(stay.select(named.columns))
     return out.select(docs.columns)

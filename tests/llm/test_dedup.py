@@ -117,6 +117,17 @@ def test_near_edges(spark):
     assert near_dedup.near_groups(table(spark, rows).filter("false")).count() == 0
 
 
+def test_near_with_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b + " end"), (5, c), (6, a + " end"), (7, b + " last"), (3, c + " end"), (8, "x y"), (5, ""), (None, a)]
+    docs = table(spark, rows)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(docs).collect()), key=str)
+    want = [(5, 56, 5, True), (5, 56, 5, True), (5, 57, 5, True), (5, 56, 3, False), (6, 57, 5, False), (7, 57, 5, False), (3, 57, 3, True), (8, 1, 8, True), (5, 0, 5, True), (None, 56, None, True)]
+    assert got == sorted(want, key=str)
+    kept = [(r["doc_id"], r["text"][:1]) for r in near_dedup.keep_first(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, "a"), (5, "b"), (5, ""), (3, "c"), (8, "x"), (None, "a")], key=str)
+
+
 def test_pruning_bounds():
     least = near_dedup.least_matches(0.85)
     assert len(least) == near_dedup.HASHES // near_dedup.BATCH and least == sorted(least) and 0 < least[0] < near_dedup.BATCH
