@@ -36,12 +36,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a temporary one in local mode, which has one machine only; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallywharf-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -91,6 +93,27 @@ def light(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= LIGHT_BYTES else df
 
 
+#: Keys that are dealt to several tasks because they are the most frequent ones, and rows of such a key in a task, about.
+HOTTEST, PART_ROWS = 1000, 1000
+
+
+def hottest(found: DataFrame, by: str = "n", most: int = HOTTEST) -> DataFrame:
+    """The `most` rows of `found` with the largest counts: a bounded table. A key outside has less than 1 / `most` of all that was counted."""
+    return found.orderBy(F.col(by).desc()).limit(most)
+
+
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], own: list[str], by: str = "n", how: str = "inner") -> DataFrame:
+    """rows join found (one row per key; `by`: how many of `rows` it has, about), without `by`.
+
+    The hottest keys are dealt to several tasks: a row by the hash of its `own` columns, the key's row of `found` once to each. Who is hot is a broadcast table of `HOTTEST` keys at most.
+    """
+    few = F.broadcast(hottest(found.filter(F.col(by) > PART_ROWS), by).select(*keys, F.ceil(F.col(by) / PART_ROWS).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    a = rows.join(few, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*own), parts).cast("int")).drop("_parts")
+    b = found.join(few, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts", by)
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table through Hadoop's file system, whichever store holds it."""
     try:

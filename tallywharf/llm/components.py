@@ -1,7 +1,7 @@
 """Connected components: up to `FEW` links in one task on an executor, more by alternating large-star and small-star steps, as joins and minima only.
 
-No star step gathers a node's neighbours in a list, so a hub with a third of all links is dealt with by partial minima and by joins that Spark can
-split. Lineage is cut after every turn.
+No star step gathers a node's neighbours in a list, so a hub with a third of all links is dealt with by partial minima and by joins
+that deal its links to several tasks (common.spread_join). Lineage is cut after every turn.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, ship
+from .common import compact, ship, spread_join
 
 #: Links up to which one task finds the components; a hundred bytes each, about.
 FEW = 1_000_000
@@ -17,14 +17,14 @@ FEW = 1_000_000
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return spread_join(both.filter(F.col("b") > F.col("a")), least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return spread_join(edges, least, ["a"], ["b"]).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
 def is_settled(edges: DataFrame) -> bool:
@@ -64,17 +64,16 @@ def merged(links: DataFrame) -> DataFrame:
     return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, comp long")
 
 
-def components(links: DataFrame, most: int | None = None, turns: int = 60) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """links: a, b; `most`: a known bound of their number. Rows (node, comp) with the smallest node of each component, for all nodes but those smallest."""
     if (links.count() if most is None else most) <= FEW:
         return compact(merged(links), "components", FEW)
-    return by_stars(links, turns)
+    return by_stars(links)
 
 
-def by_stars(links: DataFrame, turns: int = 60) -> DataFrame:
+def by_stars(links: DataFrame) -> DataFrame:
+    """Every turn at least keeps all components and lowers some node's parent, so the turns end; their number grows as the logarithm of the nodes, squared at worst."""
     edges = compact(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(turns):
-        if is_settled(edges):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    while not is_settled(edges):
         edges = compact(small_star(large_star(edges).filter("a != b").distinct()).distinct(), "edges")
-    raise RuntimeError("components did not settle")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -1,6 +1,6 @@
 """Near-duplicate detection: MinHash bands, Bayesian sequential verification, exact confirmation (operator 6).
 
-Documents are sets of distinct five-word shingles (64-bit hashes). Documents with equal sets form a class, and only one row of a class goes on.
+Documents are sets of distinct five-word shingles (64-bit names, mixed from 64-bit names of words by functions that aren't linear in the bytes). Documents with equal sets form a class, and only one row of a class goes on.
 Signatures are cut into bands; classes that share a band are in one bucket.
 
 Buckets never give all their pairs. First, each member is paired with the smallest member of a bucket: the one it shares most buckets with, and others only as long as they lie
@@ -12,7 +12,7 @@ return links only, as many as join what belongs together. So no link is left out
 A link at the threshold shares no band with a probability below `LOST`.
 
 Defined results: null text is empty; a set without shingles is linked with nothing; fewer words than `words` make one shingle; rows with a
-null doc_id take no part (component null, kept); rows that share a doc_id are searched and grouped each by its own set (groups whose smallest id is the same then show
+null doc_id take no part (component null, kept); columns of any name may be there; words of any length count; rows that share a doc_id are searched and grouped each by its own set (groups whose smallest id is the same then show
 the same component_id); an empty table gives no rows.
 """
 
@@ -25,14 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, in_files, light, on_disk, ship, whole_text, worker_table, written
+from .common import arrow_map, compact, in_files, light, on_disk, ship, spread_join, whole_text, written
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
 #: Probability of pruning a pair at the threshold, and of a link at the threshold that shares no band.
 MISS, LOST = 1e-9, 1e-6
-#: Members of a block of a bucket.
-BLOCK = 512
+#: Members of a block of a bucket, and bytes of their sets, about.
+BLOCK, BLOCK_BYTES = 512, 8_000_000
 #: Bytes of text that are shingled at once.
 PART = 1_500_000
 
@@ -41,10 +41,11 @@ LOWERED[ord("A") : ord("Z") + 1] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(20_240_601)
-CODES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 PLACES = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FIRST, SECOND = (_rng.integers(0, 1 << 31, (2, HASHES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
+#: Words of more bytes are named by BLAKE2b.
+LONG_WORD = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,11 +55,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP ** i and its inverse, modulo 2 ** 64, for i < n at least."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    back = np.uint64(pow(int(STEP), -1, 1 << 64))
-    return worker_table(("powers", max(size, 1 << 21)), lambda: tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(size, 1 << 21) - 1, s, np.uint64), dtype=np.uint64)]) for s in (STEP, back)))
+def word_names(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit names of the words flat[first:last]: eight bytes at a time are mixed into the state, which isn't linear in any of them; very long words by a cryptographic hash."""
+    size = last - first
+    out = mixed(size.astype(np.uint64) * STEP)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(8, np.uint8)]), 8)
+    live, k = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        lane = eight[first[live] + k].view(np.uint64)[:, 0]
+        short = np.minimum(size[live] - k, 8).astype(np.uint64)
+        lane &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short)
+        out[live] = mixed((out[live] ^ lane) + STEP)
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(flat[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -68,24 +80,24 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     blank = BLANK[flat]
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
-    up, down = powers(len(flat) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODES[flat] * up[: len(flat)], dtype=np.uint64)])
-    word = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    word = word_names(flat, first, last)
     ends = np.cumsum([len(r) + 1 for r in raw])
     cut = np.searchsorted(first, np.concatenate([[0], ends]))
     n = len(word)
     full = np.zeros(n, np.uint64)
     if n >= words:
         for k in range(words):
-            full[: n - words + 1] += word[k : n - words + 1 + k] * PLACES[k]
-    full = mixed(full)
+            full[: n - words + 1] = mixed(full[: n - words + 1] * STEP + word[k : n - words + 1 + k] * PLACES[k])
     out = []
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         m = hi - lo
         if m >= words:
             out.append(np.unique(full[lo : hi - words + 1]))
         elif m:
-            out.append(mixed((word[lo:hi] * PLACES[:m]).sum(keepdims=True, dtype=np.uint64) + np.uint64(m)))
+            h = np.full(1, m, np.uint64)
+            for k in range(m):
+                h = mixed(h * STEP + word[lo + k : lo + k + 1] * PLACES[k])
+            out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -165,6 +177,13 @@ def sketches(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     return arrow_map(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), one, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
+def both_ends(pairs: DataFrame, things: DataFrame, x: str, y: str) -> DataFrame:
+    """pairs (a, b) with the `x` of things (id, x) for either end; a centre b of many pairs is dealt to several tasks."""
+    of_b = pairs.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    at_b = things.join(of_b, "id").select(F.col("id").alias("b"), F.col("x").alias(y), "n")
+    return spread_join(pairs.join(things.select(F.col("id").alias("a"), F.col("x").alias(x)), "a"), at_b, ["b"], ["a"])
+
+
 def pruned(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
     """Of distinct pairs (a, b), those that the batches leave, with their matches."""
 
@@ -174,7 +193,7 @@ def pruned(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
         on = np.flatnonzero(agree >= 0)
         return {"a": batch.column(0).take(on), "b": batch.column(1).take(on), "agree": agree[on]}
 
-    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    both = both_ends(pairs, sigs.select("id", F.col("sig").alias("x")), "sa", "sb")
     return arrow_map(both.select("a", "b", "sa", "sb"), one, "a long, b long, agree long", PART)
 
 
@@ -188,15 +207,15 @@ def shared_with(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 
 
 def block_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: list[int], percent: int, rows_: int) -> DataFrame:
-    """members: band, k (which band), id, comp, n. Links (a > b) between different components of a bucket, as many as join what belongs together.
+    """members: band, k (which band), id, comp, n (members of the bucket), size (shingles of its members). Links (a > b) between different components of a bucket, as many as join what belongs together.
 
-    A bucket of up to BLOCK members is one cell; a larger one is dealt to blocks, and each pair of blocks is a cell. Within its task a cell compares each row's signature with those of all
+    A bucket of up to BLOCK members and BLOCK_BYTES of sets is one cell; a larger one is dealt to blocks, and each pair of blocks is a cell. Within its task a cell compares each row's signature with those of all
     later components, leaves out pairs that share an earlier band (another cell has them), and confirms survivors on the full sets, the likeliest first, unless links found before join the two.
     """
     import pyarrow as pa
 
     ship(members.sparkSession)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("size") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     rows = members.select("band", "k", "id", "comp", own.alias("own"), F.explode(cells).alias("cell")).join(sigs.select("id", "sig"), "id").join(sets.select("id", "s"), "id")
@@ -282,7 +301,7 @@ def confirmed(pairs: DataFrame, most: int, texts: DataFrame, percent: int, words
         on = np.array(on, np.int64)
         return {"a": batch.column(0).take(on), "b": batch.column(1).take(on)}
 
-    both = pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = both_ends(pairs.select("a", "b"), full.select("id", F.col("s").alias("x")), "sa", "sb")
     return compact(arrow_map(both.select("a", "b", "sa", "sb"), same, "a long, b long"), "links", most)
 
 
@@ -296,19 +315,20 @@ def across(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def near_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """For each set of shingles: set_key, root (its group), found (the smallest doc_id of the group)."""
+    """For each set of shingles: set_key, root (its group), found (the smallest doc_id of the group), n (rows that have it)."""
     rows_, bands = banding(percent / 100)
     least = least_matches(percent / 100)
     n_docs = docs.count()
     # one row for each set, with its smallest id. Shingles are worked out again at the end: cheaper than keeping a signature for each document meanwhile.
     known = sketches(docs, words, id_col, text_col).filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = in_files(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes", n_docs, 4 * HASHES)
+    classes = in_files(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")), "classes", n_docs, 4 * HASHES)
     names = None
     n, n_ids = classes.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
     if n > n_ids:  # rows share ids: a class goes by a number of its own
         classes = written(classes.withColumnRenamed("id", "doc").withColumn("id", F.monotonically_increasing_id()), "classes")
         names = classes.select("id", "doc", "set_key")
     sigs = classes.select("id", "sig")
+    sizes = classes.select("id", "size")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * rows_) + 1, F.lit(4 * rows_))))
     banded = sigs.select("id", F.posexplode(keys).alias("k", "band"))
@@ -332,7 +352,8 @@ def near_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     # buckets that still hold several components besides their centre
     held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
-    members = on_disk(held.join(open_, "band", "left_semi").select("band", "k", "id", "comp", "n"))
+    members = held.join(open_, "band", "left_semi").join(sizes, "id").select("band", "k", "id", "comp", "n", "size")
+    members = on_disk(spread_join(members.drop("size"), members.groupBy("band").agg(F.sum("size").alias("size"), F.first("n").alias("m")), ["band"], ["id"], by="m"))
     n = members.count()
     if n:
         sets = full_sets(members.select("id").distinct(), n, texts, words, names)
@@ -343,14 +364,15 @@ def near_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     # (set, its class, its component)
     root = F.coalesce("comp", "id")
     if names is None:
-        return classes.select("set_key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", root.alias("root"), root.alias("found"))
-    groups = names.join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", "doc", root.alias("root"))
-    return groups.select("set_key", "root").join(groups.groupBy("root").agg(F.min("doc").alias("found")), "root").select("set_key", "root", "found")
+        return classes.select("set_key", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", root.alias("root"), root.alias("found"), "n")
+    groups = classes.select("set_key", "id", "doc", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", "doc", root.alias("root"), "n")
+    of = groups.groupBy("root").agg(F.min("doc").alias("found"), F.count(F.lit(1)).alias("m"))
+    return spread_join(groups.select("set_key", "root", "n"), of, ["root"], ["set_key"], by="m").select("set_key", "root", "found", "n")
 
 
 def placed(docs: DataFrame, groups: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of near_groups() from those of near_sets()."""
-    out = sketches(docs, words, id_col, text_col, with_sig=False).drop("sig").join(groups, "set_key", "left")
+    out = spread_join(sketches(docs, words, id_col, text_col, with_sig=False).drop("sig"), groups, ["set_key"], ["doc_id"], how="left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -364,19 +386,19 @@ def keep_first(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: s
     """The rows of `docs`, as they are, that stay: one of each group, and all rows with a null doc_id. Rows that share a doc_id stay or go each with its own group."""
     sets = near_sets(docs, percent, words, id_col, text_col)
     groups = in_files(placed(docs, sets, words, id_col, text_col).filter(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "kept", docs.count(), 16)
-    named = docs.withColumn("_id", F.col(id_col).cast("long"))
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    out = named.join(light(gone, gone.count()), "_id", "left_anti")
-    often = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("some")).filter("n > 1 and some").select("_id")
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    out = named.join(light(gone, gone.count()), "id", "left_anti")
+    often = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("some")).filter("n > 1 and some").select("id")
     if not often.isEmpty():  # ids that rows share: their texts tell which group a row is of
-        shared = named.join(often, "_id", "left_semi").withColumn("_text", F.sha2(whole_text(text_col), 256))
+        shared = named.join(often, "id", "left_semi").withColumn("text", whole_text(f"row.`{text_col}`")).withColumn("digest", F.sha2("text", 256))
 
         def keyed(batch):
             n, key, _ = zip(*digests(batch.column(1).to_pylist(), words, False), strict=True)
-            return {"_text": batch.column(0), "_n": list(n), "set_key": list(key)}
+            return {"digest": batch.column(0), "n": list(n), "set_key": list(key)}
 
-        keys = arrow_map(shared.select("_text", whole_text(text_col)), keyed, "_text string, _n long, set_key binary").distinct()
-        of = keys.join(sets, "set_key", "left").select("_text", "_n", "root", "found")
-        stay = shared.join(of, "_text").filter("_n = 0 or _id = found").dropDuplicates(["_id", "root"])
-        out = out.join(often, "_id", "left_anti").unionByName(stay.select(named.columns))
-    return out.select(docs.columns)
+        keys = arrow_map(shared.select("digest", "text"), keyed, "digest string, n long, set_key binary").distinct()
+        of = keys.join(sets.drop("n"), "set_key", "left").select("digest", "n", "root", "found")
+        stay = shared.join(of, "digest").filter("n = 0 or id = found").dropDuplicates(["id", "root"])
+        out = out.join(often, "id", "left_anti").select("row").unionByName(stay.select("row"))
+    return out.select("row.*")

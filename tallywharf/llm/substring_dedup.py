@@ -16,12 +16,15 @@ an empty table gives no rows; extra columns stay.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from struct import unpack
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, light, on_disk, ship, whole_text
-from .near_dedup import CODES, mixed, powers
+from .common import arrow_map, compact, light, on_disk, ship, spread_join, whole_text, worker_table
+from .near_dedup import mixed
 from .suffixes import repeated
 
 LENGTH = 400
@@ -30,7 +33,15 @@ HOT, SHARD_BYTES, RUN, PART = 4096, 2_000_000, 4096, 1_500_000
 #: Segments with their bytes in a file, about.
 PIECE_ROWS = 60_000
 NO_ID = -(1 << 63)
-SEEDS = np.random.default_rng(11).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CODES = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STEP = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP ** i and its inverse, modulo 2 ** 64, for i < n at least."""
+    size = max(1 << max(16, int(n - 1).bit_length()), 1 << 21)
+    back = pow(STEP, -1, 1 << 64)
+    return worker_table(("powers", size), lambda: tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, s, np.uint64), dtype=np.uint64)]) for s in (STEP, back)))
 
 
 def sums_of(flat: np.ndarray) -> np.ndarray:
@@ -38,13 +49,13 @@ def sums_of(flat: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODES[flat] * up[: len(flat)], dtype=np.uint64)])
 
 
-def hashes(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of the bytes from lo to hi."""
-    _, down = powers(len(sums))
-    return mixed(((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)) * SEEDS[seed])
+def digest(part: bytes) -> tuple[int, int]:
+    """Names bytes where equality is decided: 128 bits of BLAKE2b."""
+    return unpack("<qq", blake2b(part, digest_size=16).digest())
 
 
 def gram_hashes(sums: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k-byte string. It only has to be the same for equal strings: what differs and shares a hash meets in a shard, where bytes are compared."""
     n = len(sums) - k
     _, down = powers(len(sums))
     return mixed((sums[k:] - sums[:n]) * down[:n])
@@ -62,9 +73,9 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, starts, anchor value, hash of the segment, whether the value occurs twice in it), for all segments of all texts."""
+    """(text, first start, starts, anchor value, two halves of the segment's digest, whether the value occurs twice in it), for all segments of all texts."""
     sizes = np.array([len(t) for t in texts])
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, bool))
+    none = tuple(np.zeros(0, t) for t in (*[np.int64] * 6, bool))
     if not len(sizes) or sizes.max() < length:
         return none
     flat = np.frombuffer(b"".join(texts), np.uint8)
@@ -96,18 +107,20 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         lo = lo + nth * RUN
         hi = np.minimum(hi, lo + RUN)
     text = owner[lo]
-    return text, lo - first[text], hi - lo, value.view(np.int64), hashes(sums, lo, hi - 1 + length, 1).view(np.int64), twice
+    whole = memoryview(flat)
+    names = np.array([digest(whole[a:b]) for a, b in zip(lo.tolist(), (hi - 1 + length).tolist(), strict=True)], np.int64).reshape(-1, 2)
+    return text, lo - first[text], hi - lo, value.view(np.int64), names[:, 0], names[:, 1], twice
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """docs: did, ka, nb, text. All segments: v, seg, did, ka, nb, lo, n, twice."""
+    """docs: did, ka, nb, text. All segments: v, seg, seg2, did, ka, nb, lo, n, twice."""
 
     def one(batch):
         import pyarrow as pa
 
         cols = [batch.column(i) for i in range(3)]
         raw = [t.encode("utf-8") for t in batch.column(3).to_pylist()]
-        got = [[] for _ in range(6)]
+        got = [[] for _ in range(7)]
         at = 0
         while at < len(raw):
             to, size = at, 0
@@ -117,15 +130,15 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
             for g, x in zip(got, segments(raw[at:to], length), strict=True):
                 g.append(x + at if g is got[0] else x)
             at = to
-        text, lo, n, v, seg, twice = (np.concatenate(g) for g in got)
+        text, lo, n, v, seg, seg2, twice = (np.concatenate(g) for g in got)
         idx = pa.array(text)
-        return {"v": v, "seg": seg, "did": cols[0].take(idx), "ka": cols[1].take(idx), "nb": cols[2].take(idx), "lo": lo.astype(np.int32), "n": n.astype(np.int32), "twice": twice}
+        return {"v": v, "seg": seg, "seg2": seg2, "did": cols[0].take(idx), "ka": cols[1].take(idx), "nb": cols[2].take(idx), "lo": lo.astype(np.int32), "n": n.astype(np.int32), "twice": twice}
 
-    return arrow_map(docs, one, "v long, seg long, did long, ka long, nb int, lo int, n int, twice boolean")
+    return arrow_map(docs, one, "v long, seg long, seg2 long, did long, ka long, nb int, lo int, n int, twice boolean")
 
 
 def shard_spans(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """pieces: v, seg, copies, did, ka, nb, lo, n, piece. Runs of repeated starts of the pieces that have no copy."""
+    """pieces: v, seg, seg2, copies, did, ka, nb, lo, n, piece. Runs of repeated starts of the pieces that have no copy."""
     import pyarrow as pa
 
     ship(pieces.sparkSession)
@@ -134,7 +147,7 @@ def shard_spans(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     def run(group):
         import pyarrow.compute as pc
 
-        keys = group.select(["v", "seg"]).to_pandas()
+        keys = group.select(["v", "seg", "seg2"]).to_pandas()
         group = group.take(pa.array(np.flatnonzero(~keys.duplicated().to_numpy())))
         flags = repeated(group.column("piece").to_pylist(), length)
         out = {"row": [], "lo": [], "n": []}
@@ -159,7 +172,7 @@ def split_spans(pieces: DataFrame, length: int) -> DataFrame:
     top = 1
     while top < width:
         top *= 7
-    ident = ["v", "seg", "did", "ka", "nb", "lo"]
+    ident = ["v", "seg", "seg2", "did", "ka", "nb", "lo"]
     live = pieces.withColumn("from", F.lit(0))
     found = []
     while top > 1:
@@ -168,7 +181,7 @@ def split_spans(pieces: DataFrame, length: int) -> DataFrame:
         def one(batch, step=step):
             import pyarrow as pa
 
-            out = {k: [] for k in ("row", "from", "core", "core2", "sub", "at", "n")}
+            out = {k: [] for k in ("row", "from", "core", "core2", "sub", "sub2", "at", "n")}
             for i, (v, piece, frm) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("v", "piece", "from")), strict=True)):
                 flat = np.frombuffer(piece, np.uint8)
                 sums = sums_of(flat)
@@ -184,18 +197,18 @@ def split_spans(pieces: DataFrame, length: int) -> DataFrame:
                 for part in np.split(own, cut):
                     a, low = int(anchor[part[0]]), int(far[part[0]] // step * step)
                     # inside every string of the range; the piece's own starts may reach further
-                    core = np.array([max(a - low, 0)]), np.array([min(a - (low + step - 1) + length, len(flat))])
-                    whole = np.array([part[0]]), np.array([part[-1] + length])
-                    for k, x in zip(out, (i, low, *(hashes(sums, *core, s).view(np.int64)[0] for s in (0, 1)), hashes(sums, *whole, 0).view(np.int64)[0] ^ np.int64(a - part[0]), int(part[0]), len(part)), strict=True):
+                    core = piece[max(a - low, 0) : a - (low + step - 1) + length]
+                    whole = int(a - part[0]).to_bytes(8, "little") + piece[part[0] : part[-1] + length]
+                    for k, x in zip(out, (i, low, *digest(core), *digest(whole), int(part[0]), len(part)), strict=True):
                         out[k].append(x)
             rows = pa.array(out["row"], pa.int64())
-            return {c: batch.column(c).take(rows) for c in (*ident, "copies")} | {k: np.array(out[k], np.int64) for k in ("from", "core", "core2", "sub", "at", "n")}
+            return {c: batch.column(c).take(rows) for c in (*ident, "copies")} | {k: np.array(out[k], np.int64) for k in ("from", "core", "core2", "sub", "sub2", "at", "n")}
 
-        kinds = "v long, seg long, did long, ka long, nb int, lo int, copies long, from long, core long, core2 long, sub long, at long, n long"
+        kinds = "v long, seg long, seg2 long, did long, ka long, nb int, lo int, copies long, from long, core long, core2 long, sub long, sub2 long, at long, n long"
         rows = compact(arrow_map(live.select(*ident, "copies", "from", "piece"), one, kinds, PART), "split")
         key = ["v", "from", "core", "core2"]
-        groups = rows.groupBy(*key).agg(F.sum("copies").alias("all"), F.min("sub").alias("s1"), F.max("sub").alias("s2")).filter(F.col("all") > 1)
-        kept = rows.join(groups, key)
+        groups = rows.groupBy(*key).agg(F.sum("copies").alias("all"), F.min(F.struct("sub", "sub2")).alias("s1"), F.max(F.struct("sub", "sub2")).alias("s2"), F.count(F.lit(1)).alias("m")).filter(F.col("all") > 1)
+        kept = spread_join(rows, groups, key, ident, by="m")
         done = (F.col("s1") == F.col("s2")) if step > 1 else F.lit(True)
         found.append(kept.filter(done & (F.col("copies") == 1)).select("did", "ka", "nb", (F.col("lo") + F.col("at")).cast("int").alias("lo"), F.col("n").cast("int").alias("n")))
         live = kept.filter(~done).select(*ident, "from").distinct().join(pieces, ident) if step > 1 else None
@@ -212,20 +225,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     again = rows.groupBy("v").agg(F.count(F.lit(1)).alias("total"), F.max("twice").alias("t")).filter("total > 1 or t").select("v")
     held = on_disk(rows.join(again, "v", "left_semi"))
     at = F.struct("did", "ka", "nb", "lo", F.col("n").alias("starts"))
-    kinds = compact(held.groupBy("v", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(at).alias("at")), "kinds")
-    whole = held.join(kinds.filter("copies > 1").select("v", "seg"), ["v", "seg"], "left_semi").select("did", "ka", "nb", "lo", "n")
-    groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.max("twice").alias("t")).filter("single > 0 and (different > 1 or t)").select("v", "different")
-    need = compact(kinds.join(groups, "v").select("v", "seg", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
+    kinds = compact(held.groupBy("v", "seg", "seg2").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(at).alias("at")), "kinds")
+    whole = spread_join(held, kinds.filter("copies > 1").select("v", "seg", "seg2", F.col("copies").alias("m")), ["v", "seg", "seg2"], ["did", "ka", "lo"], by="m").select("did", "ka", "nb", "lo", "n")
+    groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.max("twice").alias("t")).filter("single > 0 and (different > 1 or t)").select("v", "different", F.col("different").alias("m"))
+    need = compact(spread_join(kinds, groups, ["v"], ["seg"], by="m").select("v", "seg", "seg2", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
     parts = [whole]
     if not need.isEmpty():
         ids = on_disk(need.select("did", "ka", "nb").distinct())
         some = docs.join(light(ids, ids.count()), ["did", "ka", "nb"], "left_semi")
         cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("n") + length - 1)
-        pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", None, PIECE_ROWS)
+        pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "seg2", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", None, PIECE_ROWS)
         parts.append(shard_spans(pieces.filter(F.col("different") <= hot), length, shard_bytes))
         many = pieces.filter(F.col("different") > hot)
         if not many.isEmpty():
-            parts.append(split_spans(many.dropDuplicates(["v", "seg"]), length))
+            parts.append(split_spans(many.dropDuplicates(["v", "seg", "seg2"]), length))
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.union(p)

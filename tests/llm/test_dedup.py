@@ -8,7 +8,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from tallywharf.llm import components, exact_dedup, line_dedup, near_dedup, substring_dedup, suffixes
+from tallywharf.llm import common, components, exact_dedup, line_dedup, near_dedup, substring_dedup, suffixes
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -33,10 +33,33 @@ def test_exact(spark):
 
 def test_chunks_are_cut_by_content(spark):
     t = "".join(f"line {i} of the text\n" for i in range(400))
-    a, b = (spark.createDataFrame([(x,)], "t string").select(exact_dedup.chunks(F.col("t"))).first()[0] for x in (t, "new start\n" + t))
+    a, b = (exact_dedup.chunked(spark.createDataFrame([(x,)], "text string")).first()["chunks"] for x in (t, "new start\n" + t))
     assert "".join(a) == t and len(set(a) & set(b)) >= len(a) - 1 > 20
 
 
+def test_exact_with_marks(spark):
+    """Control characters at places where chunks end: only equal texts are equal."""
+    rnd = random.Random(3)
+    part = ["line 0", "line 0\x01", "\x01", "\n", "y", "\x00", "é", "\n\n", "\x01\n", "a" * 4096, "\x02"]
+    texts = ["line 0\ny", "line 0\x01\ny", "line 0\n\x01y", "a" * 4097, "a" * 4096 + "\na", "a" * 4096 + "\x01a"] + ["".join(rnd.choice(part) for _ in range(rnd.randint(0, 6))) for _ in range(300)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    same = Counter(texts)
+    last = {t: i for i, t in enumerate(texts)}
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == [(i, last[t], same[t], last[t] == i, sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)]
+    pieces = exact_dedup.chunked(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert all("".join(r["chunks"]) == r["text"] and r["chunks"] for r in pieces)
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    rows = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"))
+    found = rows.filter("k != 'k7'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("v"))
+    for part in (3, 1000):
+        monkeypatch.setattr(common, "PART_ROWS", part)
+        for how in ("inner", "left"):
+            got, want = common.spread_join(rows, found, ["k"], ["id"], how=how), rows.join(found.drop("n"), "k", how)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def lines_by_hand(rows, least):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
     n = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
@@ -57,6 +80,10 @@ def test_lines(spark):
         assert sorted(((r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"]) for r in got.collect()), key=str) == lines_by_hand(rows, least)
         assert got.columns[:4] == ["doc_id", "text", "keep_id", "pos"]
     assert line_dedup.dedup_lines(table(spark, rows).filter("false")).count() == 0
+    clash = table(spark, rows).selectExpr("doc_id", "text", "doc_id AS key", "'a' AS _key", "1 AS gone", "2 AS lines", "3 AS _gone", "4 AS row", "5 AS own", "6 AS h", "7 AS _n_lines")
+    got = line_dedup.dedup_lines(clash, 10, 1)
+    assert got.columns == [*clash.columns[:-1], "_n_lines", "_n_dropped"] and all(r["key"] == r["doc_id"] and r["_key"] == "a" and r["row"] == 4 for r in got.collect())
+    assert sorted(((r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"]) for r in got.collect()), key=str) == lines_by_hand(rows, 10)
 
 
 def shingle_set(t):
@@ -128,6 +155,34 @@ def test_near_with_shared_ids(spark):
     assert sorted(kept, key=str) == sorted([(5, "a"), (5, "b"), (5, ""), (3, "c"), (8, "x"), (None, "a")], key=str)
 
 
+def thue_morse(n, a="a", b="b"):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join((a, b)[x] for x in t[:n]), "".join((b, a)[x] for x in t[:n])
+
+
+def test_near_with_long_words(spark):
+    """Words that collide under any polynomial modulo a power of two, and words near the bound of the lanes."""
+    rows = []
+    for n in (511, 512, 513, 1024, 2048, 4096):
+        rows += [(len(rows) + k, f"w {x} y z q") for k, x in enumerate(thue_morse(n))]
+    rows += [(100 + i, "x" * i + "\0" * (i % 3) + " same words here too") for i in range(1, 20)] + [(200, "word " * 5), (201, "w" * 9 + " " + "w" * 8 + " a b c")]
+    got = near_dedup.near_groups(table(spark, rows), percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_by_hand(rows, 85)
+
+
+def test_near_keeps_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
+    rows = near_rows(5)
+    want = near_by_hand(rows, 85)
+    got = near_dedup.near_groups(table(spark, rows), percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+    docs = table(spark, rows).selectExpr("doc_id", "text", "'u' AS _id", "7 AS id", "8 AS n", "9 AS _text", "10 AS row", "11 AS _salt", "12 AS set_key")
+    kept = near_dedup.keep_first(docs, percent=85)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, _, k) in want.items() if k} and all(r["_id"] == "u" and r["id"] == 7 and r["row"] == 10 for r in kept.collect())
+
+
 def test_pruning_bounds():
     least = near_dedup.least_matches(0.85)
     assert len(least) == near_dedup.HASHES // near_dedup.BATCH and least == sorted(least) and 0 < least[0] < near_dedup.BATCH
