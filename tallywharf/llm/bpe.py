@@ -1,21 +1,23 @@
 """BPE encoding and decoding with a tokenization automaton (operator 4).
 
-The merge list is compiled into a deterministic automaton whose states are the tokens: an arc from x to y
-means that y may follow x. It starts with the base tokens, all arcs present, and every merge u, v -> w is one
-gadget, applied in order: the arc from u to v goes; w gets arcs from the states that had one to u, and the
-arcs that v had leave w as well. After the last gadget a sequence of tokens is what byte-pair encoding
-gives exactly when it is a path. Gadgets are kept as records (left, right, time), and arcs are worked out from
-them when first asked for, then held in a transition table of fixed size, so that the 2.4 thousand million arcs are never laid out.
-
-Encoding walks a word's bytes through a suffix table (which tokens end here, longest first) and, at each
-byte, takes the one token that has an arc from the state where it begins: a table lookup for each step,
+The merge list is compiled into a deterministic automaton over tokens: reading a token leads to a state, and a state's arcs are the tokens that may follow. It starts with one state that has an arc,
+back to itself, for every token that begins with a base token, and every merge u, v -> w is one gadget, applied in order: the state that u leads to is split off for u (unless u alone leads to it)
+and loses its arc v, with all that is made from v later on; w gets arcs from wherever u has one, and leads where v led before. After the last gadget a sequence of tokens is what
+byte-pair encoding gives exactly when it is a path.
+
+Rows are sparse: an arc is there by default, exceptions are stored. Tokens are numbered in the order of a walk through the forest of left parts (a token's parent is its left part, younger
+children first), so that what a gadget takes away, v and the children that v gets later, with all below them, is one interval of numbers. A row is a list of disjoint intervals, and all rows
+are one sorted table: an arc is looked up by one binary search.
+
+Encoding walks a word's bytes through a table of trie transitions (which tokens end here, longest first) and, at each
+byte, takes the one token that has an arc from the state where it begins: table lookups for each step,
 carried out for many distinct words at once. The path is then read backwards. Decoding emits the arc labels.
 
 Texts are pre-split as the tokenizer file says: control tokens, NFC, lower case, then words. Only the rule set of
 the word-level file (lower case, white space dropped, word ends) is supported; others are refused.
 
-Defined results: null text is empty (no tokens, empty string); any length of text or word works (long words
-take a scalar walk); the vocabulary path is a parameter.
+Defined results: null text is empty (no tokens, empty string); any length of text or word works (words of over `LONG_WORD` bytes
+walk alone, through the same tables); the vocabulary path is a parameter.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import regex
 
 from .common import worker_table
 
-#: Words kept by one worker process, and slots of its transition table.
-WORDS, SLOTS = 250_000, 1 << 20
+#: Words kept by one worker process.
+WORDS = 150_000
 LONG_WORD = 400
+#: Bytes with a column of their own in the trie's transition table; the others, which few transitions have, are looked up.
+COLUMNS = 63
 
 # Fixed values of the tokenizer file: its splitting pattern, by code points up to U+00FF and in general.
 LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
@@ -73,43 +79,86 @@ class Automaton:
     def compile(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
         n = self.size
         signs = byte_signs()
-        self.left, self.right, self.time = (np.zeros(n, np.int64) for _ in range(3))
-        made, ends = {}, {}
+        ends: dict[int, bool] = {}
         spelt: list[bytes | None] = [None] * n
         for s, i in vocab.items():
             body = s[: -len(WORD_END)] if s.endswith(WORD_END) and len(s) > len(WORD_END) else s
             if len(body) == 1:
                 spelt[i], ends[i] = bytes([signs[body]]), body != s
-        for t, (u, v) in enumerate(merges, 1):
-            u, v, w = vocab[u], vocab[v], vocab[u + v]
+        rules = []
+        for pair in merges:
+            u, v, w = vocab[pair[0]], vocab[pair[1]], vocab["".join(pair)]
             if spelt[w] is not None:
                 raise ValueError("a token with two merges is not supported")
-            self.left[w], self.right[w], self.time[w] = u, v, t
-            made[u * n + v] = t
+            rules.append((u, v, w))
             spelt[w], ends[w] = spelt[u] + spelt[v], ends[v]
-        self.made = made
-        self.made_keys, self.made_times = self.hashed(made)
-        self.arc_keys, self.arc_vals = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
-        self.one: dict[int, bool] = {}
-        self.suffixes(spelt, ends)
-
-    def hashed(self, made: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        size = 1 << 20
-        keys, times = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        for k, t in made.items():
-            s = self.slot(k) & (size - 1)
-            while keys[s] >= 0:
-                s = (s + 1) & (size - 1)
-            keys[s], times[s] = k, t
-        return keys, times
+        self.gadgets(rules, [i for i in range(n) if spelt[i] is not None])
+        self.trie(spelt, ends)
+
+    def gadgets(self, rules: list[tuple[int, int, int]], tokens: list[int]) -> None:
+        """Applies the merge gadgets in order. `target`: the state that a token leads to; `rows`: for each state the intervals of token numbers that have no arc from it."""
+        age = {w: t for t, (_, _, w) in enumerate(rules)}
+        kids: dict[int, list[int]] = {}
+        for u, _, w in reversed(rules):
+            kids.setdefault(u, []).append(w)  # younger ones first
+        self.number, until = np.full(self.size, -1, np.int64), [0] * self.size
+        count = 0
+        for root in (i for i in tokens if i not in age):
+            todo = [(root, False)]
+            while todo:
+                x, done = todo.pop()
+                if done:
+                    until[x] = count
+                    continue
+                self.number[x] = count
+                count += 1
+                todo.append((x, True))
+                todo += [(w, False) for w in reversed(kids.get(x, ()))]
+        self.target = np.zeros(self.size, np.int64)
+        rows: list[list[tuple[int, int]]] = [[]]
+        leads = [len(tokens) - len(rules)]  # how many tokens lead to a state
+        self.dead: set[int] = set()
+        for t, (u, v, w) in enumerate(rules):
+            if u in self.dead or v in self.dead or any(lo <= self.number[v] < hi for lo, hi in rows[self.target[u]]):
+                self.dead.add(w)  # u is never followed by v: no arc becomes w
+                continue
+            state, after = int(self.target[u]), int(self.target[v])
+            younger = kids.get(v, [])
+            k = bisect_left(younger, 1, key=lambda x: age[x] < t)  # those made before; w itself, where u is v, is not
+            gone = int(self.number[v]), until[younger[k - 1]] if k else int(self.number[v]) + 1
+            if leads[state] > 1:
+                leads[state] -= 1
+                rows.append(self.without(rows[state], *gone))
+                leads.append(1)
+                self.target[u] = len(rows) - 1
+            else:
+                if after == state:  # w leads where v led before
+                    rows.append(rows[state])
+                    leads.append(0)
+                    after = len(rows) - 1
+                rows[state] = self.without(rows[state], *gone)
+            self.target[w] = after
+            leads[after] += 1
+        self.rows, self.states = rows, len(rows)
+        flat = np.array([(s * self.size + lo, s * self.size + hi) for s, row in enumerate(rows) for lo, hi in row], np.int64).reshape(-1, 2)
+        self.gone_from, self.gone_to = np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
+        self.one_from, self.one_to = array("q", self.gone_from.tobytes()), array("q", self.gone_to.tobytes())
 
     @staticmethod
-    def slot(k):
-        """Works for an int and for an array."""
-        return ((k * 0x9E3779B1) >> 12) & 0xFFFFF
-
-    def suffixes(self, spelt: list[bytes | None], ends: dict[int, bool]) -> None:
-        """For each state of the suffix table: the next state by byte, and the longest token that ends here."""
+    def without(row: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
+        """The row with the numbers from lo to hi taken away as well."""
+        i = bisect_left(row, (lo, -1))
+        if i and row[i - 1][1] >= lo:
+            i -= 1
+            lo = row[i][0]
+        j = i
+        while j < len(row) and row[j][0] <= hi:
+            hi = max(hi, row[j][1])
+            j += 1
+        return [*row[:i], (lo, hi), *row[j:]]
+
+    def trie(self, spelt: list[bytes | None], ends: dict[int, bool]) -> None:
+        """For each state of the trie of tokens: the next state by byte (the longest suffix read that begins a token), and the longest token that ends here."""
         child: dict[int, int] = {}
         depth, parent, by = [0], [0], [0]
         node_of = np.zeros(self.size, np.int64)
@@ -126,99 +175,67 @@ class Automaton:
             node_of[i] = at
         count = len(depth)
         depth_, parent_, by_ = np.array(depth), np.array(parent), np.array(by)
-        self.next = go = np.zeros((count, 256), np.int32)
-        fail = np.zeros(count, np.int64)
+        often = np.argsort(-np.bincount(by_[1:], minlength=256), kind="stable")[:COLUMNS]
+        self.column = np.full(256, -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        self.next = go = np.zeros((count, len(often)), np.int32)
+        key = by_[1:] * count + parent_[1:]
+        order = np.argsort(key)
+        self.rare_key, self.rare_to = key[order], order + 1
+        self.fail = fail = np.zeros(count, np.int64)
         inner, final = np.full(count, -1, np.int64), np.full(count, -1, np.int64)
         self.length = np.zeros(self.size, np.int64)
         for i, s in enumerate(spelt):
-            if s is not None:
+            if s is not None and i not in self.dead:
                 (final if ends[i] else inner)[node_of[i]] = i
                 self.length[i] = len(s) + ends[i]
-        order = np.argsort(depth_, kind="stable")
-        starts = np.searchsorted(depth_[order], np.arange(depth_.max() + 2))
+        level = np.argsort(depth_, kind="stable")
+        starts = np.searchsorted(depth_[level], np.arange(depth_.max() + 2))
         own_inner, own_final = inner.copy(), final.copy()
         for d in range(depth_.max() + 1):
-            at = order[starts[d] : starts[d + 1]]
+            at = level[starts[d] : starts[d + 1]]
             if d:
-                fail[at] = go[fail[parent_[at]], by_[at]] if d > 1 else 0
+                fail[at] = self.step(fail[parent_[at]], by_[at]) if d > 1 else 0
                 go[at] = go[fail[at]]
                 inner[at] = np.where(own_inner[at] >= 0, own_inner[at], inner[fail[at]])
                 final[at] = np.where(own_final[at] >= 0, own_final[at], final[fail[at]])
             if d < depth_.max():
-                below = order[starts[d + 1] : starts[d + 2]]
-                go[parent_[below], by_[below]] = below
+                below = level[starts[d + 1] : starts[d + 2]]
+                below = below[self.column[by_[below]] >= 0]
+                go[parent_[below], self.column[by_[below]]] = below
         self.inner, self.final = inner, final
         self.shorter = np.full(self.size, -1, np.int64)
         for i, s in enumerate(spelt):
             if s is not None:
                 self.shorter[i] = (final if ends[i] else inner)[fail[node_of[i]]]
 
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next states of the trie."""
+        col = self.column[byte]
+        out = self.next[state, col].astype(np.int64)
+        live = np.flatnonzero(col < 0)
+        at = state[live]
+        while len(live):
+            key = byte[live].astype(np.int64) * len(self.fail) + at
+            k = np.minimum(np.searchsorted(self.rare_key, key), len(self.rare_key) - 1)
+            hit = self.rare_key[k] == key
+            out[live] = np.where(hit, self.rare_to[k], 0)
+            on = ~hit & (at > 0)
+            live, at = live[on], self.fail[at[on]]
+        return out
+
     # -- arcs ---------------------------------------------------------------------------------------------------
     def arc(self, x: int, y: int) -> bool:
-        """Whether the state x has an arc to y: the gadgets are followed back to base tokens."""
-        k = x * self.size + y
-        known = self.one.get(k)
-        if known is None:
-            u, v, t, known = x, y, len(self.made) + 1, True
-            while True:
-                if self.made.get(u * self.size + v, t) < t:
-                    known = False
-                    break
-                tu, tv = int(self.time[u]), int(self.time[v])
-                if tu == tv == 0:
-                    break
-                # the later token has its right part's outgoing arcs from before its gadget, or its left part's incoming ones from after it
-                if tu > tv:
-                    u, t = int(self.right[u]), tu
-                else:
-                    v, t = int(self.left[v]), tv + 1
-            if len(self.one) > SLOTS:
-                self.one.clear()
-            self.one[k] = known
-        return known
+        """Whether the state that x leads to has an arc y."""
+        at = int(self.target[x]) * self.size + int(self.number[y])
+        k = bisect_right(self.one_from, at) - 1
+        return k < 0 or self.one_to[k] <= at
 
     def arcs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        key = x * self.size + y
-        at = self.slot(key)
-        good = self.arc_vals[at]
-        miss = np.flatnonzero(self.arc_keys[at] != key)
-        if len(miss):
-            ask, back = np.unique(key[miss], return_inverse=True)
-            got = self.follow(ask // self.size, ask % self.size)
-            good[miss] = got[back]
-            s = self.slot(ask)
-            self.arc_keys[s] = ask  # of several keys with one slot, the last stays, in both tables
-            self.arc_vals[s] = got
-        return good
-
-    def follow(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """arc() for many pairs."""
-        good = np.ones(len(x), bool)
-        t = np.full(len(x), len(self.made) + 1, np.int64)
-        live = np.arange(len(x))
-        while len(live):
-            u, v = x[live], y[live]
-            gone = self.merged_at(u * self.size + v) < t[live]
-            good[live[gone]] = False
-            tu, tv = self.time[u], self.time[v]
-            on = ~gone & ((tu > 0) | (tv > 0))
-            live, u, v, tu, tv = live[on], u[on], v[on], tu[on], tv[on]
-            late = tu > tv
-            x[live] = np.where(late, self.right[u], u)
-            y[live] = np.where(late, v, self.left[v])
-            t[live] = np.where(late, tu, tv + 1)
-        return good
-
-    def merged_at(self, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(key), len(self.made) + 2, np.int64)
-        at, left = self.slot(key), np.arange(len(key))
-        while len(left):
-            held = self.made_keys[at]
-            hit = held == key[left]
-            out[left[hit]] = self.made_times[at[hit]]
-            on = ~hit & (held >= 0)
-            left, at = left[on], (at[on] + 1) & (len(self.made_keys) - 1)
-        return out
+        at = self.target[x] * self.size + self.number[y]
+        k = np.searchsorted(self.gone_from, at, side="right") - 1
+        return (k < 0) | (self.gone_to[k] <= at)
 
     # -- encoding -----------------------------------------------------------------------------------------------
     def walk(self, word: bytes) -> bytes:
@@ -228,7 +245,8 @@ class Automaton:
         length, shorter = self.length, self.shorter
         for i in range(1, n + 2):
             if i <= n:
-                state = int(self.next[state, word[i - 1]])
+                col = int(self.column[word[i - 1]])
+                state = int(self.next[state, col]) if col >= 0 else int(self.step(np.array([state]), np.array([word[i - 1]]))[0])
                 tok = int(self.inner[state])
             else:
                 tok = int(self.final[state])
@@ -259,7 +277,7 @@ class Automaton:
         for i in range(1, int(lens[0]) + 2):
             live = int(np.searchsorted(-lens, -(i - 1), side="right"))  # words with at least i - 1 bytes
             inside = int(np.searchsorted(-lens, -i, side="right"))
-            state[:inside] = self.next[state[:inside], text[base[:inside] + i]]
+            state[:inside] = self.step(state[:inside], text[base[:inside] + i])
             tok = np.concatenate([self.inner[state[:inside]], self.final[state[inside:live]]])
             open_ = np.arange(live)
             while len(open_):

@@ -36,6 +36,47 @@ def test_encoding_and_decoding_match_the_library(library):
         assert a.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def merged(word: str, rules: list[tuple[str, str]]) -> list[str]:
+    """Byte-pair encoding as defined: each rule in order, from left to right."""
+    parts = list(word)
+    for u, v in rules:
+        i = 0
+        while i + 1 < len(parts):
+            if parts[i] == u and parts[i + 1] == v:
+                parts[i : i + 2] = [u + v]
+            i += 1
+    return parts
+
+
+def test_gadgets_give_the_states_and_arcs_of_the_merges():
+    rnd = random.Random(12)
+    for _ in range(150):
+        tokens, rules = list("abc")[: rnd.choice([1, 2, 3])], []
+        for _ in range(rnd.randint(1, 12)):
+            u, v = rnd.choice(tokens), rnd.choice(tokens)
+            if u + v not in tokens:
+                tokens.append(u + v), rules.append((u, v))
+        number = {t: i for i, t in enumerate(tokens)}
+        a = object.__new__(bpe.Automaton)
+        a.size = len(tokens)
+        a.gadgets([(number[u], number[v], number[u + v]) for u, v in rules], list(range(len(tokens))))
+        reached = [t for t in tokens if merged(t, rules) == [t]]
+        assert [t for t in tokens if number[t] not in a.dead] == reached
+        for x in reached:
+            for y in reached:
+                assert a.arc(number[x], number[y]) == (merged(x + y, rules) == [x, y])
+                assert bool(a.arcs(np.array([number[x]]), np.array([number[y]]))[0]) == a.arc(number[x], number[y])
+        assert len(a.rows) == a.states and all(p[1] < q[0] for row in a.rows for p, q in zip(row, row[1:]))
+        assert {int(a.target[number[t]]) for t in reached} == set(range(a.states))
+
+
+def test_the_automaton_is_compiled_and_small():
+    a = bpe.Automaton(WORD)
+    assert 10_000 < a.states < 15_000 and len(a.gone_from) == sum(map(len, a.rows)) < 600_000 and a.next.nbytes < 25_000_000
+    ids = {s: i for i, s in enumerate(a.labels)}
+    assert not a.arc(ids["t"], ids["he"]) and not a.arc(ids["t"], ids["h"]) and a.arc(ids["the"], ids["the"])
+
+
 def test_scalar_walk_equals_batch_walk():
     a = bpe.Automaton(WORD)
     words = [w.encode() for w in ("aaaa", "thetheth", "ciónmente", "x", "é", "hellohello", "zzzzzzzzz")]
