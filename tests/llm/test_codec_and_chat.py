@@ -105,16 +105,43 @@ def test_combinations_and_least_squares():
     assert (packing.nnls(a, -b) == 0).all()
 
 
+def laid_out(rows: list) -> tuple[dict, dict]:
+    """Of a plan's rows: the spans of each piece (length, rank), and the fill of each sequence."""
+    spans, fill = {}, {}
+    for own, lo, hi, at, size, index, seq, m, place in rows:
+        for rank in range(lo, hi):
+            spans.setdefault((own, rank), []).append((at, at + size))
+            k = rank - lo + index
+            fill.setdefault(seq + k // m, {})[place + k % m] = size
+    return spans, fill
+
+
 def test_plans_hold_the_histogram():
     rnd = random.Random(8)
-    for _ in range(20):
-        h = {b: rnd.choice([0, 1, 5, 1000, 10**7]) for b in range(1, 17) if rnd.random() < 0.6}
-        got: dict = {}
-        for combo, n in packing.plan(h, 16, 3):
-            assert sum(combo) <= 16 and n > 0
-            for x in combo:
-                got[x] = got.get(x, 0) + n
-        assert got == {k: v for k, v in h.items() if v}
+    for case in range(60):
+        window = rnd.choice([64, 512])
+        h = {rnd.choice([rnd.randint(1, window), rnd.randint(1, 9), window]): rnd.choice([1, 5, 300]) for _ in range(rnd.choice([1, 2, 12]))}
+        for cut in (0, 48):
+            spans, fill = laid_out(packing.plan(h, window, 8, 3, cut if case % 2 else 0))
+            assert sorted(spans) == sorted((n, r) for n, k in h.items() for r in range(k))
+            for (n, _), parts in spans.items():
+                parts.sort()
+                assert parts[0][0] == 0 and parts[-1][1] == n and all(p[1] == q[0] and p[1] % packing.GRAIN == 0 for p, q in zip(parts, parts[1:]))
+            for slots in fill.values():
+                assert sorted(slots) == list(range(len(slots))) and sum(slots.values()) <= window
+
+
+@pytest.mark.parametrize("h", [{4: 5000}, {34: 3000}, {130: 3000}, {1001: 3000}, {1400: 3000}, {2100: 3000}, {3000: 999, 7: 4}, {n: n % 7 * 40 for n in range(1, 4097)}])
+def test_plans_leave_little_padding(h):
+    _, fill = laid_out(packing.plan(h, 4096))
+    assert sum(4096 - sum(s.values()) for s in list(fill.values())[:-1]) < 0.02 * 4096 * len(fill)
+
+
+def test_checksums_of_parts():
+    ids = np.random.default_rng(1).integers(0, 49_000, 1003).astype("<u4")
+    crcs = np.array([crc32(ids[i : i + packing.GRAIN].tobytes()) for i in range(0, len(ids), packing.GRAIN)], "<u4").tobytes()
+    for lo, hi in ((0, 1003), (0, 16), (16, 1003), (992, 1003), (480, 640)):
+        assert packing.part_crc(crcs, 1003, lo, hi - lo) == crc32(ids[lo:hi].tobytes())
 
 
 def test_packing_places_each_id_once(spark, library):
@@ -137,8 +164,16 @@ def test_packing_places_each_id_once(spark, library):
             at += length
         assert at <= 512
     assert sum(r["length"] for r in rows) == sum(len(x) for xs in texts.values() for x in xs)
+    for i, tokens in texts.items():  # each id in one piece
+        spans = sorted((r["start"], r["start"] + r["length"]) for r in rows if r["doc_id"] == i)
+        if len(tokens) == 1:
+            assert spans[0][0] == 0 and spans[-1][1] == len(tokens[0]) and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
+    assert any(r["start"] % 512 for r in rows)  # some are cut
     pad = packing.padding(packing.pack_documents(docs, WORD, window=512), 512).first()
-    assert pad["padded"] < 0.1 * pad["tokens"]
+    assert pad["padded"] < 0.05 * pad["tokens"]
+    short = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the of the").alias("text"))
+    pad = packing.padding(packing.pack_documents(short, WORD)).first()
+    assert pad["tokens"] == 12000 and pad["sequences"] == 3
     assert packing.pack_documents(docs.filter("false"), WORD).count() == 0
 
 
