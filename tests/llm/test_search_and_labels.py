@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from fractions import Fraction
 from hashlib import sha256
 
 import numpy as np
@@ -29,9 +30,24 @@ def test_search(spark):
     assert topk.search(df.filter("false")).count() == 0
 
 
+def test_search_with_any_finite_component(spark):
+    """Against integers of any size; a repeated query goes by its smallest vector."""
+    rnd = random.Random(7)
+    big = [0.0, 1.5, -2.25, 1e16, -1e16, 9007199254740993.0, 1e300, -1.7e308, 1e-310, 2.0**40, 2.0**53 / 1024]
+    rows = [(i, [rnd.choice(big) if i % 3 else rnd.uniform(-1, 1) for _ in range(3)]) for i in range(120)] + [(100, [5.0, 5.0, 5.0]), (100, [-3.0, 1.0, 2.0]), (50, [1e16, 0.0, 0.0])]
+    good = [(i, [int(Fraction(x) * 1024 // 1) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50, 100):
+        own = min(v for i, v in rows if i == q)
+        v = [int(Fraction(x) * 1024 // 1) for x in own]
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:10]
+        want += [(q, k, i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, i) in enumerate(best, 1)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, every=50).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_groups_of_candidates(spark, monkeypatch):
     monkeypatch.setattr(topk, "GROUP_ROWS", 60)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
     e = table(spark, SF, "embeddings")
     a = topk.search(e, 10, 100).collect()
     monkeypatch.undo()
