@@ -52,10 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
 def on_disk(df: DataFrame) -> DataFrame:
     """Keeps rows that are read several times on the executors' disks. The lineage stays: what a lost executor held is worked out again.
 
-    They are let go with the session, or by spark.catalog.clearCache(), since lazy results may still read them. For a few large tables only: the plans of all that
+    They are let go with the session, or by release(), since lazy results may still read them. For a few large tables only: the plans of all that
     is made from them hold theirs.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return _kept[-1]
 
 
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -85,7 +86,7 @@ def compact(df: DataFrame, label: str, most: int | None = None, file_rows: int =
 
 
 #: Estimated bytes up to which a counted table is broadcast; beyond, both sides of its join are shuffled.
-LIGHT_BYTES = 32_000_000
+LIGHT_BYTES = 16_000_000
 
 
 def light(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
@@ -102,18 +103,49 @@ def hottest(found: DataFrame, by: str = "n", most: int = HOTTEST) -> DataFrame:
     return found.orderBy(F.col(by).desc()).limit(most)
 
 
-def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], own: list[str], by: str = "n", how: str = "inner") -> DataFrame:
-    """rows join found (one row per key; `by`: how many of `rows` it has, about), without `by`.
+def hot_keys(found: DataFrame, keys: list[str], by: str = "n") -> DataFrame:
+    """keys, _parts: the hottest keys and how many tasks each is dealt to; `HOTTEST` rows at most."""
+    return hottest(found.filter(F.col(by) > PART_ROWS), by).select(*keys, F.ceil(F.col(by) / PART_ROWS).cast("int").alias("_parts"))
 
-    The hottest keys are dealt to several tasks: a row by the hash of its `own` columns, the key's row of `found` once to each. Who is hot is a broadcast table of `HOTTEST` keys at most.
+
+def looked_up(few: DataFrame) -> DataFrame | None:
+    """hot_keys() worked out now, as a local table, which keeps plans small: for tables that are stored. None if no key is hot."""
+    rows = few.collect()
+    return few.sparkSession.createDataFrame(rows, few.schema) if rows else None
+
+
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], own: list[str], few: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows join found (one row per key). few: hot_keys(), or None.
+
+    The hottest keys are dealt to several tasks: a row by the hash of its `own` columns, the key's row of `found` once to each.
     """
-    few = F.broadcast(hottest(found.filter(F.col(by) > PART_ROWS), by).select(*keys, F.ceil(F.col(by) / PART_ROWS).cast("int").alias("_parts")))
+    if few is None:
+        return rows.join(found, keys, how)
     parts = F.coalesce("_parts", F.lit(1))
-    a = rows.join(few, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*own), parts).cast("int")).drop("_parts")
-    b = found.join(few, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts", by)
+    a = rows.join(F.broadcast(few), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*own), parts).cast("int")).drop("_parts")
+    b = found.join(F.broadcast(few), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Lets go of what on_disk() keeps. Tables made from it lose nothing: they work it out again if they are still read."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system: workers live on between stages."""
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table through Hadoop's file system, whichever store holds it."""
     try:
@@ -165,6 +197,7 @@ def arrow_map(df: DataFrame, one, schema: str, part_bytes: int = PART_BYTES) ->
             for lo in range(0, rows, step):
                 got = one(batch.slice(lo, step))
                 yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], types[n]) for n in names], names=names)
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, ship, spread_join
+from .common import compact, hot_keys, looked_up, ship, spread_join
 
 #: Links up to which one task finds the components; a hundred bytes each, about.
 FEW = 1_000_000
@@ -18,13 +18,14 @@ FEW = 1_000_000
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return spread_join(both.filter(F.col("b") > F.col("a")), least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    few = looked_up(hot_keys(least, ["a"]))
+    return spread_join(both.filter(F.col("b") > F.col("a")), least.drop("n"), ["a"], ["b"], few).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """edges: a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    return spread_join(edges, least, ["a"], ["b"]).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return spread_join(edges, least.drop("n"), ["a"], ["b"], looked_up(hot_keys(least, ["a"]))).filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
 def is_settled(edges: DataFrame) -> bool:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, whole_text
+from .common import hot_keys, spread_join, whole_text
 
 #: One line in so many ends a chunk; longer chunks are cut at so many characters.
 LINES, MAX_CHUNK = 8, 4096
@@ -59,7 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = used.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"))
     verified = known.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("all")).select("h", F.posexplode("all").alias("v", "x")).select("h", "x.s", "v", "x.n")
     recipes = (
-        spread_join(used, verified, ["h", "s"], ["doc_id", "text_sha256", "pos"])
+        spread_join(used, verified.drop("n"), ["h", "s"], ["doc_id", "text_sha256", "pos"], hot_keys(verified, ["h", "s"]))
         .groupBy("doc_id", "text_sha256")
         .agg(
             F.transform(F.array_sort(F.collect_set(F.struct("pos", "h", "v"))), lambda x: F.struct(x.h.alias("h"), x.v.alias("v"))).alias("recipe"),
@@ -71,7 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest = F.sha2(F.to_json("recipe"), 256)
     of = groups.select(digest.alias("r"), "keep_id", "group_size", "n")
     return (
-        spread_join(recipes.select("doc_id", "text_sha256", "copies", digest.alias("r")), of, ["r"], ["doc_id", "text_sha256"])
+        spread_join(recipes.select("doc_id", "text_sha256", "copies", digest.alias("r")), of.drop("n"), ["r"], ["doc_id", "text_sha256"], hot_keys(of, ["r"]))
         .select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
         .select(F.col("doc_id").alias(id_col), "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256")
     )

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, in_files, light, on_disk, ship, spread_join, whole_text, written
+from .common import arrow_map, compact, hot_keys, in_files, light, looked_up, ship, spread_join, trim, whole_text, written
 from .components import components
 
 WORDS, HASHES, BATCH = 5, 192, 32
@@ -178,10 +178,9 @@ def sketches(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
 
 
 def both_ends(pairs: DataFrame, things: DataFrame, x: str, y: str) -> DataFrame:
-    """pairs (a, b) with the `x` of things (id, x) for either end; a centre b of many pairs is dealt to several tasks."""
-    of_b = pairs.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    at_b = things.join(of_b, "id").select(F.col("id").alias("b"), F.col("x").alias(y), "n")
-    return spread_join(pairs.join(things.select(F.col("id").alias("a"), F.col("x").alias(x)), "a"), at_b, ["b"], ["a"])
+    """pairs (a, b), a stored table, with the `x` of things (id, x) for either end; a centre b of many pairs is dealt to several tasks."""
+    few = looked_up(hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["b"]))
+    return spread_join(pairs.join(things.select(F.col("id").alias("a"), F.col("x").alias(x)), "a"), things.select(F.col("id").alias("b"), F.col("x").alias(y)), ["b"], ["a"], few)
 
 
 def pruned(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
@@ -258,6 +257,7 @@ def block_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: lis
                     if x != y:
                         a.append(max(ids[at], ids[r])), b.append(min(ids[at], ids[r]))
                         up[up == max(x, y)] = min(x, y)
+        trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("band", "cell").applyInArrow(run, "a long, b long")
@@ -338,12 +338,13 @@ def near_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     # each member against the centre that it shares most bands with; against other centres only while they lie in other components
     stars = buckets.filter("id != center").groupBy(F.col("id").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    first = stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
-    near = on_disk(pruned(first, sigs, least))
+    first = in_files(stars.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b")), "first", n, 16)
+    near = in_files(pruned(first, sigs, least), "near", n, 24)
     n_links = near.count()
     links = confirmed(near, n_links, texts, percent, words, names)
     comp = components(links, n_links)
-    near = on_disk(pruned(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), sigs, least))
+    others = compact(across(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), "others")
+    near = compact(pruned(others, sigs, least), "near")
     n = near.count()
     if n and not (more := confirmed(near, n, texts, percent, words, names)).isEmpty():
         links, n_links = links.union(more), n_links + n
@@ -352,8 +353,9 @@ def near_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     # buckets that still hold several components besides their centre
     held = buckets.filter("n > 2 and id != center").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band")
-    members = held.join(open_, "band", "left_semi").join(sizes, "id").select("band", "k", "id", "comp", "n", "size")
-    members = on_disk(spread_join(members.drop("size"), members.groupBy("band").agg(F.sum("size").alias("size"), F.first("n").alias("m")), ["band"], ["id"], by="m"))
+    members = compact(held.join(open_, "band", "left_semi").join(sizes, "id").select("band", "k", "id", "comp", "n", "size"), "members")
+    of = members.groupBy("band").agg(F.sum("size").alias("size"), F.first("n").alias("m"))
+    members = spread_join(members.drop("size"), of.drop("m"), ["band"], ["id"], looked_up(hot_keys(of, ["band"], "m")))
     n = members.count()
     if n:
         sets = full_sets(members.select("id").distinct(), n, texts, words, names)
@@ -367,12 +369,13 @@ def near_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
         return classes.select("set_key", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", root.alias("root"), root.alias("found"), "n")
     groups = classes.select("set_key", "id", "doc", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("set_key", "doc", root.alias("root"), "n")
     of = groups.groupBy("root").agg(F.min("doc").alias("found"), F.count(F.lit(1)).alias("m"))
-    return spread_join(groups.select("set_key", "root", "n"), of, ["root"], ["set_key"], by="m").select("set_key", "root", "found", "n")
+    return spread_join(groups.select("set_key", "root", "n"), of.drop("m"), ["root"], ["set_key"], looked_up(hot_keys(of, ["root"], "m"))).select("set_key", "root", "found", "n")
 
 
 def placed(docs: DataFrame, groups: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of near_groups() from those of near_sets()."""
-    out = spread_join(sketches(docs, words, id_col, text_col, with_sig=False).drop("sig"), groups, ["set_key"], ["doc_id"], how="left")
+    few = looked_up(hot_keys(groups, ["set_key"]))
+    out = spread_join(sketches(docs, words, id_col, text_col, with_sig=False).drop("sig"), groups.drop("n"), ["set_key"], ["doc_id"], few, "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, whole_text, worker_table
+from .common import arrow_map, ship, trim, whole_text, worker_table
 
 SAMPLE, SAMPLE_BYTES, MEASURED_BYTES = 4000, 24_000_000, 4_000_000
 #: Bytes of text that a worker measures at once; about forty times as many are in use meanwhile.
@@ -262,5 +262,6 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
                 part = batch.slice(lo, step)
                 score = model.score([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(score >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

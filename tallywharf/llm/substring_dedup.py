@@ -23,13 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, light, on_disk, ship, spread_join, whole_text, worker_table
+from .common import arrow_map, compact, hot_keys, light, looked_up, on_disk, ship, spread_join, trim, whole_text, worker_table
 from .near_dedup import mixed
 from .suffixes import repeated
 
 LENGTH = 400
 #: Different segments of an anchor beyond which it is split; bytes of a shard; starts in a segment of periodic text; bytes of text a worker hashes at once.
-HOT, SHARD_BYTES, RUN, PART = 4096, 2_000_000, 4096, 1_500_000
+HOT, SHARD_BYTES, RUN, PART = 4096, 2_000_000, 4096, 750_000
 #: Segments with their bytes in a file, about.
 PIECE_ROWS = 60_000
 NO_ID = -(1 << 63)
@@ -39,7 +39,7 @@ STEP = 0x9E3779B97F4A7C15
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """STEP ** i and its inverse, modulo 2 ** 64, for i < n at least."""
-    size = max(1 << max(16, int(n - 1).bit_length()), 1 << 21)
+    size = max(1 << max(16, int(n - 1).bit_length()), 1 << 20)
     back = pow(STEP, -1, 1 << 64)
     return worker_table(("powers", size), lambda: tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, s, np.uint64), dtype=np.uint64)]) for s in (STEP, back)))
 
@@ -159,6 +159,7 @@ def shard_spans(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 out["row"].append(i), out["lo"].append(lo + a), out["n"].append(b - a)
         rows = pa.array(out["row"], pa.int64())
         own = {c: pc.take(group.column(c), rows) for c in ("did", "ka", "nb")}
+        trim()
         return pa.table(own | {"lo": pa.array(out["lo"], pa.int32()), "n": pa.array(out["n"], pa.int32())})
 
     shard = F.pmod(F.xxhash64("v"), F.lit(int(total // shard_bytes) + 1))
@@ -208,7 +209,7 @@ def split_spans(pieces: DataFrame, length: int) -> DataFrame:
         rows = compact(arrow_map(live.select(*ident, "copies", "from", "piece"), one, kinds, PART), "split")
         key = ["v", "from", "core", "core2"]
         groups = rows.groupBy(*key).agg(F.sum("copies").alias("all"), F.min(F.struct("sub", "sub2")).alias("s1"), F.max(F.struct("sub", "sub2")).alias("s2"), F.count(F.lit(1)).alias("m")).filter(F.col("all") > 1)
-        kept = spread_join(rows, groups, key, ident, by="m")
+        kept = spread_join(rows, groups.drop("m"), key, ident, looked_up(hot_keys(groups, key, "m")))
         done = (F.col("s1") == F.col("s2")) if step > 1 else F.lit(True)
         found.append(kept.filter(done & (F.col("copies") == 1)).select("did", "ka", "nb", (F.col("lo") + F.col("at")).cast("int").alias("lo"), F.col("n").cast("int").alias("n")))
         live = kept.filter(~done).select(*ident, "from").distinct().join(pieces, ident) if step > 1 else None
@@ -226,13 +227,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     held = on_disk(rows.join(again, "v", "left_semi"))
     at = F.struct("did", "ka", "nb", "lo", F.col("n").alias("starts"))
     kinds = compact(held.groupBy("v", "seg", "seg2").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(at).alias("at")), "kinds")
-    whole = spread_join(held, kinds.filter("copies > 1").select("v", "seg", "seg2", F.col("copies").alias("m")), ["v", "seg", "seg2"], ["did", "ka", "lo"], by="m").select("did", "ka", "nb", "lo", "n")
-    groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.max("twice").alias("t")).filter("single > 0 and (different > 1 or t)").select("v", "different", F.col("different").alias("m"))
-    need = compact(spread_join(kinds, groups, ["v"], ["seg"], by="m").select("v", "seg", "seg2", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
+    again = kinds.filter("copies > 1")
+    whole = spread_join(held, again.select("v", "seg", "seg2"), ["v", "seg", "seg2"], ["did", "ka", "lo"], looked_up(hot_keys(again, ["v", "seg", "seg2"], "copies"))).select("did", "ka", "nb", "lo", "n")
+    groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.max("twice").alias("t")).filter("single > 0 and (different > 1 or t)").select("v", "different")
+    need = compact(spread_join(kinds, groups, ["v"], ["seg"], looked_up(hot_keys(groups, ["v"], "different"))).select("v", "seg", "seg2", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
     parts = [whole]
     if not need.isEmpty():
         ids = on_disk(need.select("did", "ka", "nb").distinct())
-        some = docs.join(light(ids, ids.count()), ["did", "ka", "nb"], "left_semi")
+        some = docs.join(light(ids, ids.count(), 64), ["did", "ka", "nb"], "left_semi")
         cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("n") + length - 1)
         pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "seg2", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", None, PIECE_ROWS)
         parts.append(shard_spans(pieces.filter(F.col("different") <= hot), length, shard_bytes))
@@ -266,7 +268,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("ka"), F.octet_length(text).alias("nb")]
     spans = compact(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans", None, PIECE_ROWS)
     n_spans = spans.select(F.sum(F.size("spans"))).first()[0] or 0
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(light(spans, n_spans, 16), ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(light(spans, n_spans, 64), ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
 
     def one(batch):
         import pyarrow as pa

@@ -55,9 +55,13 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     found = rows.filter("k != 'k7'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("v"))
     for part in (3, 1000):
         monkeypatch.setattr(common, "PART_ROWS", part)
+        few = common.hot_keys(found, ["k"])
+        assert (common.looked_up(few) is None) == (part == 1000)
         for how in ("inner", "left"):
-            got, want = common.spread_join(rows, found, ["k"], ["id"], how=how), rows.join(found.drop("n"), "k", how)
-            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            want = rows.join(found.drop("n"), "k", how)
+            for f in (few, common.looked_up(few)):
+                got = common.spread_join(rows, found.drop("n"), ["k"], ["id"], f, how)
+                assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
 def lines_by_hand(rows, least):
