@@ -20,6 +20,7 @@ CONTEXT = 24
 BASE, REGION_BONUS, TYPE_BONUS, KEYWORD_BONUS, REPAIRED_PENALTY, AGAIN_BONUS = 100, 20, 40, 25, 30, 5
 
 STRINGS = "array<string>"
+MATCHES = "array<struct<code:string,raw:string,start:int,stop:int,score:int,is_repaired:boolean>>"
 
 
 def normalised(text: Column) -> Column:
@@ -100,9 +101,9 @@ def scored_matches(text: Column, region: Column, repaired: bool) -> Column:
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
 
     def of(n: Column) -> Column:
-        m = F.regexp_extract_all(n, F.lit(pattern), F.lit(0))
-        between = F.split(n, pattern, -1)
+        return codes.let(F.regexp_extract_all(n, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(MATCHES)).otherwise(codes.let(F.split(n, pattern, -1), lambda between: rows(n, m, between))))
 
+    def rows(n: Column, m: Column, between: Column) -> Column:
         def one(raw: Column, i: Column) -> Column:
             start = length(F.slice(between, 1, i + 1)) + length(F.slice(m, 1, i))
             plain = F.regexp_replace(raw, r"\s+", "")

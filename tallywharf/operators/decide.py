@@ -1,11 +1,11 @@
-"""One result for each file. fast_results() is native, for the mode without enhancement; results() runs any mode as a grouped map."""
+"""One result for each file. fast_results() is native, for the mode without enhancement; results() runs any mode: natively as far as the first steps settle a file, then as a grouped map."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import notes, regions, text
+from ..functions import codes, notes, regions, text
 from . import evidence
 from .evidence import PAGE, STRONG
 
@@ -13,10 +13,23 @@ RESULT = "file_id {id}, status string, container_code string, source string, fai
 
 
 def results(files: DataFrame, obs: DataFrame, mode: str = "balanced") -> DataFrame:
-    """files: file_id, name. One row per file, also for files without observations. An error within a file becomes its result."""
-    from .reading import File
+    """files: file_id, name. One row per file, also for files without observations. An error within a file becomes its result.
 
+    In modes with enhancement, settled_early() gives the results of the files that need none; only the others go, one by one, through the sequential part. Its table is read twice: hand
+    over observations that are stored.
+    """
     mode = regions.mode_of(mode)
+    if mode == "fast":
+        return sequential(files, obs, mode)
+    done = settled_early(files, obs)
+    rest = files.select("file_id", "name").join(done.select("file_id"), "file_id", "left_anti")
+    return done.unionByName(sequential(rest, obs.join(rest.select("file_id"), "file_id", "left_semi"), mode))
+
+
+def sequential(files: DataFrame, obs: DataFrame, mode: str) -> DataFrame:
+    """results() by a grouped map over files, each reading deciding on the next ones."""
+    from .reading import File
+
     cols = ["page_no", "seq", "stage", "region_name", "psm", "text"] + (["error"] if "error" in obs.columns else [])
     per = obs.groupBy("file_id").agg(F.collect_list(F.struct(*cols)).alias("rows"))  # a hundred readings per page at most
     both = files.select("file_id", "name").join(per, "file_id", "left")
@@ -46,8 +59,7 @@ def results(files: DataFrame, obs: DataFrame, mode: str = "balanced") -> DataFra
 
 def page_text(keys: list[str] = PAGE):
     """The reference text of what was read, in order: label and text of each region."""
-    label = F.when(F.col("psm").isNull(), F.col("region_name")).otherwise(F.concat(F.col("region_name"), F.lit(":psm"), F.col("psm").cast("string")))
-    body = F.when(regions.is_diagnostic(F.col("region_name")), F.concat(F.lit("\n["), F.col("region_name"), F.lit("]"))).otherwise(F.concat(F.lit("\n["), label, F.lit("]\n"), F.coalesce("text", F.lit(""))))
+    body = said({c: F.col(c) for c in ("region_name", "psm", "text")})
     parts = F.array_sort(F.collect_list(F.struct("seq", body.alias("t"))))
     return F.array_join(F.transform(parts, lambda x: x["t"]), "")
 
@@ -67,37 +79,77 @@ def filename_results(files: DataFrame) -> DataFrame:
     )
 
 
+#: What a file's result is made of, by kind: good, clash, wrong, name, badname, none.
+COLUMNS = ["file_id", "status", "container_code", "source", "failure_reason", "review_note", "review_code", "ocr_text"]
+
+
+def label(x):
+    """What was read, as it is named in a result: the region, and how it was segmented where that is known."""
+    return F.when(x["psm"].isNull(), x["region_name"]).otherwise(F.concat(x["region_name"], F.lit(":psm"), x["psm"].cast("string")))
+
+
+def said(x):
+    """A reading's part of the reference text."""
+    return F.when(regions.is_diagnostic(x["region_name"]), F.concat(F.lit("\n["), x["region_name"], F.lit("]"))).otherwise(F.concat(F.lit("\n["), label(x), F.lit("]\n"), F.coalesce(x["text"], F.lit(""))))
+
+
+def invalid_of(readings):
+    """The invalid code read in most regions, the first seen on ties; null if there is none."""
+
+    def of(pairs):
+        names = F.array_distinct(F.transform(pairs, lambda p: p["code"]))
+        return F.array_min(F.transform(names, lambda c, i: F.struct((-F.size(F.array_distinct(F.filter(pairs, lambda p: p["code"] == c)))).alias("n"), i.alias("i"), c.alias("code"))))["code"]
+
+    pairs = F.flatten(F.transform(readings, lambda x: F.transform(text.invalid_candidates(x["text"]), lambda c: F.struct(c.alias("code"), x["region"].alias("region")))))
+    return codes.let(pairs, of)
+
+
+def first_steps(obs: DataFrame, priority: int | None, pdf=None) -> DataFrame:
+    """file_id, page_no, j (judgement), words, labels, wrong, at_full: each page read in full and then by its first `priority` regions (all, if None), up to where reading stops.
+
+    pdf: a column of obs that says where a code needs two regions (not in fast mode). One aggregation by page.
+    """
+    extra = ["stage", "region_name", "psm", "text"]
+    if pdf is not None:
+        obs = obs.withColumn("pdf", pdf)
+        extra.append("pdf")
+    pages = evidence.gathered(obs.filter(F.col("stage").isin("full", "priority")), PAGE, *extra)
+    full, rest = F.filter("readings", lambda x: x["stage"] == "full"), F.filter("readings", lambda x: x["stage"] == "priority")
+    pages = pages.select(*PAGE, F.size(full).alias("n_full"), F.concat(full, rest if priority is None else F.slice(rest, 1, priority)).alias("r"))
+    needs = F.lit(False) if pdf is None else F.get("r", F.lit(0))["pdf"]
+    n_full = F.col("n_full")
+
+    def good(k, j):
+        return F.when(k == n_full, F.coalesce((j["score"] >= STRONG) & ~more(needs, j), F.lit(False))).otherwise(evidence.calm(j))
+
+    at = evidence.first_prefix(F.col("r"), F.greatest(n_full, F.lit(1)), good)
+    pages = evidence.once(evidence.once(pages, "at", at), "seen", F.when(F.size("r") > 0, F.slice("r", 1, F.coalesce("at", F.size("r")))).otherwise(F.col("r")))
+    return evidence.once(pages, "j", evidence.judgement(F.col("seen"))).select(
+        *PAGE, "j", needs.alias("pdf"), F.array_join(F.transform("seen", said), "").alias("words"), F.transform("seen", label).alias("labels"), invalid_of(F.col("seen")).alias("wrong"),
+    )
+
+
+def more(pdf, j):
+    """Whether a page of a document needs a second region for its code."""
+    return F.coalesce(pdf, F.lit(False)) & (j["is_repaired"] | (j["n_regions"] < 2))
+
+
 def fast_results(files: DataFrame, obs: DataFrame) -> DataFrame:
-    """As results() in fast mode: the full page, then three regions until one code is confirmed. All native, partitioned by file once.
+    """As results() in fast mode: the full page, then three regions until one code is confirmed. All native, one aggregation by page and one pass over a file's pages.
 
     A page ends the file if the prefix that was read has a selection or the text so far has an invalid code; otherwise the next page goes on.
     """
-    rows = obs.filter("stage = 'full'").unionByName(
-        obs.filter("stage = 'priority'").withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE).orderBy("seq"))).filter("_k <= 3").drop("_k")
-    ).select("file_id", "page_no", "seq", "stage", "region_name", "psm", "text").repartition("file_id")
-    frames = [*PAGE, "upto"]
-    pre = evidence.prefixes(evidence.prepared(rows))
-    top = evidence.best(pre, frames)
-    judged = top.join(evidence.conflicts(pre, top, frames), [*frames, "code"])
-    shape = rows.groupBy(*PAGE).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.max(F.when(F.col("stage") == "full", F.col("seq"))).alias("full"))
-    at = judged.join(shape, PAGE)
-    strong = (F.col("upto") == F.col("full")) & (F.col("score") >= STRONG)
-    calm = (F.col("upto") != F.coalesce("full", F.lit(-1))) & ~F.col("is_repaired") & ~F.col("strong") & (F.col("n_regions") >= 2)
-    ends = at.groupBy(*PAGE).agg(F.min(F.when(strong | calm, F.col("upto"))).alias("stop"))
-    read = shape.join(ends, PAGE, "left").select(*PAGE, F.coalesce("stop", "last").alias("upto"))
-    words = rows.join(read, PAGE).filter(F.col("seq") <= F.col("upto")).groupBy(*PAGE).agg(page_text().alias("words"))
-    wrong = evidence.invalid_choice(rows.join(read, PAGE).filter(F.col("seq") <= F.col("upto"))).select(*PAGE, F.col("code").alias("wrong"))
-    chosen = judged.join(read, frames).select(*PAGE, "code", "is_repaired", "raw", "strong")
-    sofar = F.array_join(F.collect_list("words").over(Window.partitionBy("file_id").orderBy("page_no")), "")
-    pages = words.join(chosen, PAGE, "left").join(wrong, PAGE, "left").withColumn("ocr_text", sofar).withColumn("bad", F.get(text.invalid_candidates(F.col("ocr_text")), F.lit(0)))
-    over = F.col("code").isNotNull() | F.col("bad").isNotNull()
+    pages = first_steps(obs, 3).withColumn("ocr_text", F.array_join(F.collect_list("words").over(Window.partitionBy("file_id").orderBy("page_no")), ""))
+    pages = evidence.once(pages, "bad", F.get(text.invalid_candidates(F.col("ocr_text")), F.lit(0)))
+    over = F.col("j").isNotNull() | F.col("bad").isNotNull()
     order = F.struct((~over).alias("x"), F.when(over, F.col("page_no")).otherwise(-F.col("page_no")))  # the first that ends the file, else the last
-    page = pages.withColumn("_r", F.row_number().over(Window.partitionBy("file_id").orderBy(order))).filter("_r = 1").drop("_r", "page_no")
+    page = pages.groupBy("file_id").agg(F.min_by(F.struct("j", "ocr_text", "bad", "wrong"), order).alias("p")).select("file_id", "p.*")
 
     all_ = files.select("file_id", "name").join(page, "file_id", "left").withColumn("ocr_text", F.coalesce("ocr_text", F.lit(""))).join(filename_results(files), "file_id")
-    code, words_, wrong_ = F.col("code"), F.col("ocr_text"), F.coalesce("wrong", "bad")
+    j = F.col("j")
+    code, words_, wrong_ = j["code"], F.col("ocr_text"), F.coalesce("wrong", "bad")
     kind = (
-        F.when(code.isNotNull() & ~F.col("strong"), "good").when(code.isNotNull(), "clash").when(F.col("bad").isNotNull(), "wrong")
+        F.when(code.isNotNull() & ~j["strong"], "good").when(code.isNotNull(), "clash").when(F.col("bad").isNotNull(), "wrong")
         .when(F.col("name_status") == notes.SUCCESS, "name").when(F.col("name_status") == notes.INVALID, "badname").otherwise("none")
     )
     k = F.col("kind")
@@ -107,10 +159,30 @@ def fast_results(files: DataFrame, obs: DataFrame) -> DataFrame:
         "file_id",
         F.when(k.isin("good", "name"), notes.SUCCESS).when(k == "none", notes.UNRECOGNIZED).otherwise(notes.INVALID).alias("status"),
         F.when(k.isin("good", "clash"), code).when(k != "none", named).alias("container_code"),
-        F.when((k == "good") & F.col("is_repaired"), "OCR修正").when(k.isin("good", "clash", "wrong"), "OCR").when(k != "none", "文件名").alias("source"),
+        F.when((k == "good") & j["is_repaired"], "OCR修正").when(k.isin("good", "clash", "wrong"), "OCR").when(k != "none", "文件名").alias("source"),
         F.when(k == "clash", "CONFLICTING_CANDIDATES").when(is_wrong, "INVALID_CHECK_DIGIT").when(k == "none", "NO_CONTAINER_CANDIDATE").alias("failure_reason"),
-        F.when((k == "good") & F.col("is_repaired"), F.concat(F.lit("OCR修正原始片段: "), F.col("raw")))
+        F.when((k == "good") & j["is_repaired"], F.concat(F.lit("OCR修正原始片段: "), j["raw"]))
         .when(k == "clash", notes.conflict_note(code, words_)).when(is_wrong, notes.invalid_note(named, words_)).when(k == "none", notes.final_note(words_)).alias("review_note"),
         F.when(k == "clash", code).when(is_wrong, text.review_code_for_invalid(named, words_)).when(k == "none", text.guessed_code(words_)).alias("review_code"),
         words_.alias("ocr_text"),
     )
+
+
+def settled_early(files: DataFrame, obs: DataFrame) -> DataFrame:
+    """Rows of `RESULT` for the files whose first page settles them, in the full page or its regions, in a mode with enhancement: a code without conflict, read in two regions where that is needed.
+
+    Native, one aggregation by page. Files with errors or regions that couldn't be cut are left to the sequential part.
+    """
+    odd = F.coalesce(regions.is_diagnostic(F.col("region_name")), F.lit(True)) | (F.col("error").isNotNull() if "error" in obs.columns else F.lit(False))
+    flagged = obs.select("file_id", "page_no", "seq", "stage", "region_name", "psm", "text", odd.alias("odd_row"))
+    first = flagged.groupBy("file_id").agg(F.min("page_no").alias("page_no"), F.bool_or("odd_row").alias("odd")).filter(~F.col("odd")).select("file_id", "page_no")
+    pdf = files.select("file_id", (text.suffix_of(F.col("name")) == ".pdf").alias("is_pdf"))
+    rows = flagged.drop("odd_row").join(first, PAGE).join(pdf, "file_id")
+    pages = first_steps(rows, None, F.col("is_pdf"))
+    j = F.col("j")
+    good = pages.filter(j.isNotNull() & ~j["strong"] & ~more(F.col("pdf"), j))
+    nothing = F.lit(None).cast("string")
+    return good.select(
+        "file_id", F.lit(notes.SUCCESS).alias("status"), j["code"].alias("container_code"), F.when(j["is_repaired"], "OCR修正").otherwise("OCR").alias("source"), nothing.alias("failure_reason"),
+        F.when(j["is_repaired"], F.concat(F.lit("OCR修正原始片段: "), j["raw"])).alias("review_note"), nothing.alias("review_code"), F.col("words").alias("ocr_text"), F.col("labels").alias("readings"),
+    )

@@ -1,5 +1,8 @@
 """Evidence from observations: ranking, support, conflicts, prefix stops. All native.
 
+Set functions (rank, supports, conflicts) take any codes and keys; what needs several of them at once for the best code, or for all prefixes of a page, works on one array for each body of
+evidence (gathered, judgement) and costs one aggregation.
+
 Observations are rows (file_id, page_no, seq, stage, region_name, psm, text); `seq` is the order of reading. Functions take `keys`, the columns that make
 one body of evidence: a page by default, or a page and a prefix. When the rows come partitioned by those keys, no function shuffles them again.
 """
@@ -75,6 +78,97 @@ def suspicions(obs: DataFrame, keys: list[str] = PAGE, region: Column | None = N
     return each.groupBy(*keys, "candidate").agg(F.count_distinct("_region").cast("int").alias("n_regions"))
 
 
+# -- one body of evidence as one array ---------------------------------------------------------------------------------
+def gathered(obs: DataFrame, keys: list[str] = PAGE, *extra: str) -> DataFrame:
+    """keys, readings: what was read in each text of a body of evidence, in order. One aggregation; the functions below work on that array, and need no joins.
+
+    A body of evidence is a page's readings: as many as there are regions and ways to read them, a hundred or so.
+    """
+    one = F.struct("seq", F.col("region_name").alias("region"), F.col("_matches").alias("found"), F.col("_valid").alias("valid"), F.col("_odd").alias("odd"), *extra)
+    return prepared(obs).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("readings"))
+
+
+def scored(readings: Column) -> Column:
+    """Codes with their scores, as rank() has them: struct(is_repaired, minus (the score, negative), seq, at, code, raw); the least is the best."""
+
+    def each(x: Column) -> Column:
+        return F.transform(x["found"], lambda y: F.struct(x["seq"].alias("seq"), y["at"].alias("at"), y["m"]["code"].alias("code"), y["m"]["raw"].alias("raw"), y["m"]["score"].alias("score"), y["m"]["is_repaired"].alias("is_repaired")))
+
+    def of(all_: Column) -> Column:
+        def one(id_: Column) -> Column:
+            def held(occ: Column) -> Column:
+                top = F.array_max(F.transform(occ, lambda z, i: z["score"] + text.AGAIN_BONUS * (F.size(occ) - 1 - i + F.when(i == 0, 0).otherwise(1))))
+                first = F.get(occ, F.lit(0))
+                return F.struct(id_["is_repaired"].alias("is_repaired"), (-top).cast("int").alias("minus"), first["seq"].alias("seq"), first["at"].alias("at"), id_["code"].alias("code"), first["raw"].alias("raw"))
+
+            return codes.let(F.filter(all_, lambda z: (z["is_repaired"] == id_["is_repaired"]) & (z["code"] == id_["code"])), held)
+
+        return F.transform(F.array_distinct(F.transform(all_, lambda z: F.struct(z["is_repaired"].alias("is_repaired"), z["code"].alias("code")))), one)
+
+    return codes.let(F.flatten(F.transform(readings, each)), of)
+
+
+def placed(readings: Column, what: str, place=lambda region: region) -> Column:
+    """Distinct struct(code, region) of what was read, with the place of each region."""
+    return F.array_distinct(F.flatten(F.transform(readings, lambda x: F.transform(x[what], lambda c: F.struct(c.alias("code"), place(x["region"]).alias("region"))))))
+
+
+def judgement(readings: Column, place=lambda region: region) -> Column:
+    """best() and conflicts() of readings in one: struct(code, score, is_repaired, raw, n_regions, competing, repeated, strong); null where no code was read."""
+
+    regions_of = lambda pairs, c: F.size(F.filter(pairs, lambda p: p["code"] == c))
+    names = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p["code"]))
+
+    def judge(all_: Column, valid: Column, odd: Column, top: Column) -> Column:
+        def with_support(own: Column) -> Column:
+            score_of = lambda c: F.coalesce(-F.array_min(F.filter(all_, lambda e: ~e["is_repaired"] & (e["code"] == c)))["minus"], F.lit(0))
+            hard = lambda others: F.exists(others, lambda c: (regions_of(valid, c) >= 2) | (own["n"] <= 1) | (score_of(c) >= own["score"]))
+            rivals = F.filter(names(valid), lambda c: c != top["code"])
+            same = F.filter(names(odd), lambda c: (c != top["code"]) & (F.left(c, F.lit(4)) == F.left(top["code"], F.lit(4))))
+
+            def out(x: Column) -> Column:
+                repeated = F.filter(x["same"], lambda c: regions_of(odd, c) >= 2)
+                strong = hard(x["others"]) | (F.size(repeated) > 0) | ((own["n"] <= 1) & (F.size(x["same"]) > 0))
+                return F.struct(
+                    top["code"].alias("code"), (-top["minus"]).alias("score"), top["is_repaired"].alias("is_repaired"), top["raw"].alias("raw"),
+                    own["n"].alias("n_regions"), F.array_sort(x["others"]).alias("competing"), F.array_sort(repeated).alias("repeated"), strong.alias("strong"),
+                )
+
+            return codes.let(F.struct(rivals.alias("others"), same.alias("same")), out)
+
+        own = F.struct(regions_of(valid, top["code"]).alias("n"), F.when(top["is_repaired"], 0).otherwise(-top["minus"]).alias("score"))
+        return F.when(top.isNotNull(), codes.let(own, with_support))
+
+    def of(a: Column) -> Column:
+        return codes.let(placed(readings, "valid", place), lambda v: codes.let(placed(readings, "odd", place), lambda o: codes.let(F.array_min(a), lambda t: judge(a, v, o, t))))
+
+    return codes.let(scored(readings), of)
+
+
+def calm(j: Column) -> Column:
+    """Whether a judgement lets reading stop: a clear code, read in two regions, without conflict."""
+    return F.coalesce(~j["is_repaired"] & ~j["strong"] & (j["n_regions"] >= 2), F.lit(False))
+
+
+def first_prefix(readings: Column, least: Column, good) -> Column:
+    """The length of the shortest prefix of at least `least` readings for which good(length, judgement); null if there is none. Longer ones aren't looked at."""
+
+    def step(at: Column, k: Column) -> Column:
+        return F.when(at.isNotNull() | (k < least), at).otherwise(codes.let(judgement(F.slice(readings, 1, k)), lambda j: F.when(good(k, j), k)))
+
+    return F.aggregate(F.when(F.size(readings) > 0, F.sequence(F.lit(1), F.size(readings))), F.lit(None).cast("int"), step)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later filters and projections can't take apart: its long expression is worked out once for each row."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def judged(obs: DataFrame, keys: list[str] = PAGE, place=lambda region: region) -> DataFrame:
+    """keys, code, score, is_repaired, raw, n_regions, competing, repeated, strong of the best code, as conflicts() of best() has them."""
+    return once(gathered(obs, keys), "j", judgement(F.col("readings"), place)).filter(F.col("j").isNotNull()).select(*keys, "j.*")
+
+
 def conflicts(obs: DataFrame, selected: DataFrame, keys: list[str] = PAGE, region: Column | None = None) -> DataFrame:
     """selected: keys, code. keys, code, n_regions, competing, repeated, strong.
 
@@ -101,21 +195,10 @@ def conflicts(obs: DataFrame, selected: DataFrame, keys: list[str] = PAGE, regio
     return out.select(*keys, F.col("selected").alias("code"), "n_regions", "competing", repeated.alias("repeated"), strong.alias("strong"))
 
 
-def prefixes(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Every observation once for each prefix of its page that holds it: column `upto`, the last seq of the prefix. Pages have thirty observations at most."""
-    ends = obs.select(*keys, F.col("seq").alias("upto"))
-    return obs.join(ends, keys).filter(F.col("seq") <= F.col("upto"))
-
-
 def stops(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """keys, stop: the first prefix, longer than its first observation, whose best code is clear, read in two regions and without conflict."""
-    frames = [*keys, "upto"]
-    p = prefixes(prepared(obs), keys)
-    top = best(p, frames)
-    held = top.join(conflicts(p, top, frames), [*frames, "code"])
-    first = obs.groupBy(*keys).agg(F.min("seq").alias("_first"))
-    good = held.filter(~F.col("is_repaired") & ~F.col("strong") & (F.col("n_regions") >= 2)).join(first, keys).filter(F.col("upto") > F.col("_first"))
-    return good.groupBy(*keys).agg(F.min("upto").alias("stop"))
+    """keys, stop: the last seq of the first prefix, longer than one observation, whose best code is clear, read in two regions and without conflict."""
+    at = first_prefix(F.col("readings"), F.lit(2), lambda k, j: calm(j))
+    return once(gathered(obs, keys), "at", at).filter(F.col("at").isNotNull()).select(*keys, F.get("readings", F.col("at") - 1)["seq"].alias("stop"))
 
 
 def invalid_choice(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
@@ -167,14 +250,15 @@ def enhanced_supports(obs: DataFrame, keys: list[str] = PAGE) -> DataFrame:
 
 
 def overrides(obs: DataFrame, selected: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """selected: keys, code, confirmation (may be null). keys, code, confirmation, confirmed: whether the enhanced reading may stand (without the authoritative 400-dpi rule).
+    """selected: keys, code, confirmation (may be null). keys, code, confirmation, confirmed: whether the enhanced reading may stand.
 
-    The same code needs more supports than any other; another code needs two boxes, or one box at 400 dpi in two variants, besides.
+    The same code needs more supports than any other; another code needs two boxes, or one box at 400 dpi in two variants, besides, or must be the authoritative one.
     """
+    lone = authoritative(obs, selected.select(*keys, "confirmation").filter("confirmation is not null"), keys).withColumnRenamed("code", "_lone")
     s = enhanced_supports(obs, keys).withColumnRenamed("code", "c")
-    both = selected.join(s, keys, "left")
+    both = selected.join(s, keys, "left").join(lone, keys, "left")
     own = F.col("c") == F.col("code")
-    per = both.groupBy(*keys, "code", "confirmation").agg(
+    per = both.groupBy(*keys, "code", "confirmation", "_lone").agg(
         F.coalesce(F.max(F.when(own, F.col("n_supports"))), F.lit(0)).alias("mine"),
         F.coalesce(F.max(F.when(~own, F.col("n_supports"))), F.lit(0)).alias("others"),
         F.coalesce(F.max(F.when(own, F.col("n_regions"))), F.lit(0)).alias("boxes"),
@@ -182,7 +266,8 @@ def overrides(obs: DataFrame, selected: DataFrame, keys: list[str] = PAGE) -> Da
     )
     more = F.col("mine") > F.col("others")
     apart = (F.col("boxes") >= 2) | (F.col("high") >= 2)
-    ok = F.col("confirmation").isNull() | (more & ((F.col("code") == F.col("confirmation")) | apart))
+    same = F.col("code") == F.col("confirmation")
+    ok = F.col("confirmation").isNull() | (more & (same | apart)) | (~same & F.coalesce(F.col("_lone") == F.col("code"), F.lit(False)))
     return per.select(*keys, "code", "confirmation", ok.alias("confirmed"))
 
 
@@ -213,11 +298,12 @@ def authoritative(obs: DataFrame, confirmed: DataFrame, keys: list[str] = PAGE)
 
 
 def staged(obs: DataFrame, keys: list[str] = PAGE, both_sources: Column | bool = False) -> DataFrame:
-    """keys, code, score: the enhanced selection that two boxes carry without conflict, in both sources where that is asked for."""
-    region = regions.evidence_region(F.col("region_name"))
-    top = best(obs, keys).filter(~F.col("is_repaired"))
-    fine = conflicts(obs, top, keys, region).filter(~F.col("strong")).select(*keys, "code")
-    where = obs.select(*keys, region.alias("region"), regions.evidence_source(F.col("region_name")).alias("source"), F.explode(text.candidates(F.col("text"))).alias("code"))
-    n = where.groupBy(*keys, "code").agg(F.count_distinct("region").alias("boxes"), F.count_distinct(F.when(F.col("source").isin("400dpi", "base"), F.col("source"))).alias("sources"))
+    """keys, code, score: the enhanced selection that two boxes carry without conflict, in both sources where that is asked for (a flag, or a column of the keys)."""
     need = F.lit(both_sources) if isinstance(both_sources, bool) else both_sources
-    return top.join(fine, [*keys, "code"]).join(n, [*keys, "code"]).filter((F.col("boxes") >= 2) & (~need | (F.col("sources") == 2))).select(*keys, "code", "score")
+    r, j = F.col("readings"), F.col("j")
+    top = once(gathered(obs, keys), "j", judgement(r, regions.evidence_region)).filter(j.isNotNull() & ~j["is_repaired"] & ~j["strong"])
+    hits = F.filter(r, lambda x: F.array_contains(x["valid"], j["code"]))
+    boxes = F.array_distinct(F.transform(hits, lambda x: regions.evidence_region(x["region"])))
+    sources = F.array_distinct(F.transform(hits, lambda x: regions.evidence_source(x["region"])))
+    both = F.array_contains(sources, "400dpi") & F.array_contains(sources, "base")
+    return top.filter((F.size(boxes) >= 2) & (~need | both)).select(*keys, "j.code", "j.score")

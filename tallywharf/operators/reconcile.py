@@ -151,7 +151,8 @@ def attach_prior(tasks: DataFrame, prior: DataFrame) -> DataFrame:
 
 def find_prior(tasks: DataFrame, prior: DataFrame) -> DataFrame:
     """tasks with `prior_status`, by path or else by name (which also finds a top-level file of that name)."""
-    p = prior.select(F.col("relative_name").alias("k"), F.col("status").alias("s"))
+    last = F.max_by("status", "row_no") if "row_no" in prior.columns else F.max("status")  # of rows that repeat a path the last one counts
+    p = prior.groupBy(F.col("relative_name").alias("k")).agg(last.alias("s"))
     j = tasks.join(p.select(F.col("k").alias("k1"), F.col("s").alias("s1")), F.col("relative_name") == F.col("k1"), "left").join(p.select(F.col("k").alias("k2"), F.col("s").alias("s2")), F.col("original_name") == F.col("k2"), "left")
     return j.select(*tasks.columns, F.coalesce("s1", "s2").alias("prior_status"))
 
@@ -179,29 +180,78 @@ def retryable(results: DataFrame) -> DataFrame:
 
 
 def output_plan(results: DataFrame, keys: list[str] = BATCH) -> DataFrame:
-    """Where each result's file goes: dir, name, target; equal names of a folder get -1, -2, ... in scan order, apart from a file that has its place already."""
-    want = notes.target_name(F.col("original_name"), F.col("status"), F.col("container_code"), F.col("review_code"))
-    r = results.withColumn("_want", want).withColumn("_stays", F.coalesce(F.col("output_relative_path") == F.concat_ws("/", "status", "_want"), F.lit(False)))
-    order = Window.partitionBy(*keys, "status", "_want").orderBy(F.col("_stays").desc(), "file_ord", "relative_name")
-    n = F.row_number().over(order) - 1
-    stem, suffix = text.stem_of(F.col("_want")), F.regexp_extract("_want", r"(?<=.)(\.[^.]+)\z", 1)
-    name = F.when(F.col("_n") == 0, F.col("_want")).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), suffix))
-    out = r.withColumn("_n", n).withColumn("_name", name)
-    return out.select(*keys, "relative_name", F.col("status").alias("dir"), F.col("_name").alias("name"), F.concat_ws("/", "status", "_name").alias("target"))
-
+    """Where each result's file goes: dir, name, target. In scan order, a file whose name is taken in its folder gets the first of -1, -2, ... that is free; a file that has its place already keeps it.
 
-def result_sheet(results: DataFrame) -> DataFrame:
-    """The five visible columns of a batch's report."""
+    Names that no numbered name can meet are numbered by their rank. A name that looks like a numbered one of another name there (A-1 beside A) depends on what came before: such families
+    of names go as sorted streams through numbered().
+    """
+    want = notes.target_name(F.col("original_name"), F.col("status"), F.col("container_code"), F.col("review_code"))
+    r = results.select(*keys, "relative_name", "file_ord", F.col("status").alias("dir"), want.alias("want"), F.coalesce(F.col("output_relative_path") == F.concat_ws("/", "status", want), F.lit(False)).alias("stays"))
+    place = [*keys, "dir"]
+    stem, suffix = text.stem_of(F.col("want")), F.regexp_extract("want", r"(?<=.)(\.[^.]+)\z", 1)
+    # the names that a name could be a numbered one of, nearest first: they count as long as they are there
+    numbers = F.regexp_extract(stem, r"((?:-[1-9][0-9]*)+)\z", 1)
+    depth = F.size(F.split(numbers, "-")) - 1
+    wants = r.select(*place, "want").distinct().withColumn("up", F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.struct(i.alias("i"), F.concat(F.regexp_replace(stem, F.concat(F.lit("(-[0-9]+){"), i.cast("string"), F.lit("}$")), F.lit("")), suffix).alias("name")))))
+    above = wants.select(*place, "want", F.explode("up").alias("u")).select(*place, "want", "u.i", F.col("u.name").alias("name"))
+    there = above.join(wants.select(*place, F.col("want").alias("name")), [*place, "name"])
+    chain = there.groupBy(*place, "want").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("a"))  # as many as a name has numbers
+    unbroken = F.filter("a", lambda x, at: x["i"] == at + 1)
+    below = chain.filter(F.size(unbroken) > 0).select(*place, "want", F.element_at(unbroken, -1)["name"].alias("root"))
+    family = below.unionByName(below.select(*place, F.col("root").alias("want"), "root").distinct())
+    plain = r.join(family, [*place, "want"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(*place, "want").orderBy(F.col("stays").desc(), "file_ord", "relative_name")) - 1
+    plain = plain.withColumn("n", rank).select(*keys, "relative_name", "dir", F.when(F.col("n") == 0, F.col("want")).otherwise(F.concat(stem, F.lit("-"), F.col("n").cast("string"), suffix)).alias("name"))
+    mixed = r.join(family, [*place, "want"]).repartition(*place, "root").sortWithinPartitions(*place, "root", F.col("stays").desc(), "file_ord", "relative_name")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    named = mixed.select(*keys, "relative_name", "dir", "root", "want", stem.alias("stem"), suffix.alias("suffix")).mapInPandas(numbered(place), schema)
+    return plain.unionByName(named).select(*keys, "relative_name", "dir", "name", F.concat_ws("/", "dir", "name").alias("target"))
+
+
+def numbered(place: list[str]):
+    """A function of a stream of frames, sorted by folder, family and order, that gives each row its free name. It keeps a family's distinct names, and how far each has been numbered."""
+
+    def run(frames):
+        now, taken, reached = None, set(), {}
+        for frame in frames:
+            names = []
+            for *folder, want, stem, suffix in zip(*(frame[c] for c in [*place, "root", "want", "stem", "suffix"]), strict=True):
+                if folder != now:
+                    now, taken, reached = folder, set(), {}
+                k = reached.get(want, 1)
+                if want not in taken and not was_given(want, reached):
+                    taken.add(want)
+                    names.append(want)
+                    continue
+                while f"{stem}-{k}{suffix}" in taken:
+                    k += 1
+                reached[want] = k + 1
+                names.append(f"{stem}-{k}{suffix}")
+            yield frame.assign(name=names)[[c for c in frame.columns if c not in ("root", "want", "stem", "suffix")] + ["name"]]
+
+    return run
+
+
+def was_given(name: str, reached: dict[str, int]) -> bool:
+    """Whether a name was given to an earlier file as a numbered one."""
+    import re
+
+    m = re.fullmatch(r"(.+)-([1-9][0-9]*)(\.[^.]+)?", name, re.DOTALL)
+    return bool(m) and int(m[2]) < reached.get(m[1] + (m[3] or ""), 0)
+
+
+def result_sheet(results: DataFrame, *more: str) -> DataFrame:
+    """The five visible columns of a batch's report, and `more`."""
     return results.select(
-        "original_name", notes.display_code(F.col("status"), F.col("container_code"), F.col("review_code")).alias("display_code"), "status", "elapsed_ms",
+        *more, "original_name", notes.display_code(F.col("status"), F.col("container_code"), F.col("review_code")).alias("display_code"), "status", "elapsed_ms",
         notes.display_note(F.col("status"), F.col("review_note"), F.col("failure_reason")).alias("display_note"), (F.col("status") != SUCCESS).alias("highlighted"),
     )
 
 
-def index_rows(results: DataFrame) -> DataFrame:
-    """The eight columns that a later run resumes from; missing values as empty strings."""
+def index_rows(results: DataFrame, *more: str) -> DataFrame:
+    """The eight columns that a later run resumes from, missing values as empty strings, and `more`."""
     cols = ["original_name", "relative_name", "container_code", "source", "failure_reason", "review_code", "status", "output_relative_path"]
-    return results.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols))
+    return results.select(*more, *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols))
 
 
 def progress(results: DataFrame, keys: list[str] = BATCH) -> DataFrame:

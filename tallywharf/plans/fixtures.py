@@ -40,7 +40,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = F.concat(F.left("code", F.lit(10)), ((F.right("code", F.lit(1)).cast("int") + 1) % 10).cast("string"))
     o = pinned(o, "wrong", wrong).drop("_k")
     f = F.col("file_id")
-    name = F.when(f % 11 == 0, F.concat("code", "suffix")).when(f % 11 == 1, F.concat("wrong", "suffix")).otherwise(F.concat(F.lit("scan-"), (f % 7000).cast("string"), "suffix"))
+    scan = F.concat(F.lit("scan-"), (f % 7000).cast("string"))  # equal names occur, and names that look like numbered ones of others
+    name = F.when(f % 11 == 0, F.concat("code", "suffix")).when(f % 11 == 1, F.concat("wrong", "suffix")).when(f % 11 <= 4, F.concat(scan, F.lit("-1"), "suffix")).otherwise(F.concat(scan, "suffix"))
     rel = F.concat_ws("/", "batch_id", F.floor(f / 10).cast("string"), "original_name")
     return pinned(pinned(o, "original_name", name), "relative_name", rel)
 
@@ -108,8 +109,8 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden rows for every seventh file, some of them wrong."""
-    f = files(spark, sf_dir).filter("file_id % 7 = 0")
+    """Golden rows for every file, some of them wrong or of files that aren't there."""
+    f = files(spark, sf_dir)
     k = F.col("file_id")
     m = k % 10
     status = F.when(k % 5 == 3, F.lit(None).cast("string")).when(m <= 5, "success").when(m <= 7, " Invalid ").otherwise(notes.UNRECOGNIZED)
@@ -127,7 +128,7 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_no, line: JSON records of results, some repeated, broken or of unknown files."""
-    r = results(spark, sf_dir).filter("file_ord % 3 = 0")
+    r = results(spark, sf_dir)
     cols = ["original_name", "relative_name", "status", "container_code", "source", "failure_reason", F.col("elapsed_ms").cast("string").alias("elapsed_ms"), "review_note", "review_code", "output_relative_path"]
     line = F.to_json(F.struct(*cols))
     k = F.col("file_ord")
@@ -151,13 +152,29 @@ def review_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enhanced_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of enhanced regions for every fifth file: file_id, page_no, seq, stage, region_name, psm, text."""
-    f = files(spark, sf_dir).filter("file_id % 5 = 0")
-    names = regions.enhanced_names(f, "balanced").withColumnRenamed("seq", "at")
-    each = names.join(f.select("file_id", "code", "wrong"), "file_id").withColumn("psm", F.explode(F.array(F.lit(6), F.lit(11))))
+    """Readings of the enhanced regions of every file: file_id, page_no, seq, stage, region_name, psm, text.
+
+    By file: mixed readings; one clear reading at 400 dpi with broken ones of the same code elsewhere; or two boxes with the code and noise.
+    """
+    f = files(spark, sf_dir)
+    each = regions.enhanced_names(f, "balanced").withColumnRenamed("seq", "at").join(f.select("file_id", "code", "wrong"), "file_id").withColumn("psm", F.explode(F.array(F.lit(6), F.lit(11))))
     kind = (F.col("file_id") * 5 + F.col("at") * 3 + F.col("psm")) % 9
-    words = (
-        F.when(kind <= 2, F.concat("code", F.lit(" 45G1"))).when(kind == 3, F.col("wrong")).when(kind == 4, F.concat(F.left("code", F.lit(6)), F.lit("X"), F.substr("code", F.lit(8))))
+    clear, broken = F.concat("code", F.lit(" 45G1")), F.concat(F.left("code", F.lit(4)), F.lit("X"), F.substr("code", F.lit(6)))
+    mixed = (
+        F.when(kind <= 2, clear).when(kind == 3, F.col("wrong")).when(kind == 4, F.concat(F.left("code", F.lit(6)), F.lit("X"), F.substr("code", F.lit(8))))
         .when(kind == 5, full_code(F.col("file_id") + 5)).when(kind == 6, F.concat(F.left("code", F.lit(4)), F.lit("Q"), F.substr("code", F.lit(6)))).otherwise("NOISE")
     )
+    first, second = regions.ENHANCED[0][0], regions.ENHANCED[1][0]
+    backed = F.when((F.col("source") == "400dpi") & (F.col("box_name") == first), clear).otherwise(broken)
+    carried = F.when(F.col("box_name").isin(first, second), clear).otherwise("NOISE")
+    words = F.when(F.col("file_id") % 3 == 0, mixed).when(F.col("file_id") % 3 == 1, backed).otherwise(carried)
     return each.select("file_id", F.lit(1).alias("page_no"), (F.lit(100) + F.col("at") * 3 + F.when(F.col("psm") == 6, 0).otherwise(1)).cast("int").alias("seq"), F.lit("enhanced").alias("stage"), "region_name", F.col("psm").cast("int").alias("psm"), words.alias("text"))
+
+
+def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, page_no, confirmation: what an earlier step took each file's code for: the code, another one of the owner, of another owner, or nothing."""
+    f = files(spark, sf_dir)
+    k = F.col("file_id")
+    ten = F.concat(F.left("code", F.lit(4)), F.lpad(((k * 7919 + 3) % 1_000_000).cast("string"), 6, "0"))
+    sibling = F.concat(ten, codes.digit_once(ten).cast("string"))
+    return f.select("file_id", F.lit(1).alias("page_no"), F.when(k % 4 == 0, F.col("code")).when(k % 4 == 1, sibling).when(k % 4 == 2, full_code(k + 5)).alias("confirmation"))

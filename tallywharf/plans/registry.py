@@ -221,7 +221,7 @@ def _(spark, d):
 
 @query(
     "S17_W5_journal",
-    f"""{s.RESULTS}, j AS (SELECT *, file_ord * 2 AS line_no, status AS st FROM results WHERE file_ord % 3 = 0 AND file_ord % 21 <> 0 AND NOT (file_ord % 33 = 0 AND status = '正确识别')
+    f"""{s.RESULTS}, j AS (SELECT *, file_ord * 2 AS line_no, status AS st FROM results WHERE file_ord % 21 <> 0 AND NOT (file_ord % 33 = 0 AND status = '正确识别')
   UNION ALL SELECT * REPLACE (replace(output_relative_path, '未识别', '箱号错误') AS output_relative_path), file_ord * 2 + 1, CASE WHEN status = '未识别' THEN '箱号错误' ELSE status END FROM results WHERE file_ord % 9 = 0),
 l AS (SELECT *, row_number() OVER (PARTITION BY relative_name ORDER BY line_no DESC) AS k FROM j WHERE batch_id <> 'O')
 SELECT relative_name, line_no, st AS status, original_name, container_code, failure_reason, review_note, review_code, output_relative_path, source, elapsed_ms FROM l WHERE k = 1""",
@@ -328,7 +328,7 @@ def _(spark, d):
 @query("A6_A7_T9_conflict", f"{_J} SELECT file_id, page_no, code, n_regions, competing, repeated, strong FROM judged")
 def _(spark, d):
     o = fx.observations(spark, d)
-    return evidence.conflicts(o, evidence.best(o)).select("file_id", "page_no", "code", "n_regions", flat("competing").alias("competing"), flat("repeated").alias("repeated"), "strong")
+    return evidence.judged(o).select("file_id", "page_no", "code", "n_regions", flat("competing").alias("competing"), flat("repeated").alias("repeated"), "strong")
 
 
 _SIGNAL = f"list_concat(list_transform({s.invalid('text')}, lambda w_: CASE WHEN len({s.repairs('w_')}) = 1 THEN {s.repairs('w_')}[1] ELSE w_ END), list_filter([{s.guessed('text')}], lambda g_: g_ IS NOT NULL))"
@@ -377,39 +377,108 @@ def _(spark, d):
     return decide.reference_text(fx.observations(spark, d)).withColumn("ocr_text", F.sha2("ocr_text", 256))
 
 
-@query("A9_A11_actionable")
+_E = s.EMATCHES
+_DIGITS = "regexp_replace(substr(c, 5), '[^0-9]', '', 'g')"
+
+
+@query(
+    "A9_A11_actionable",
+    f"""{_E}, pl AS (SELECT file_id, page_no, bool_or(len({s.found("text", s.CLEAN)}) > 0) AS plain FROM obs GROUP BY ALL),
+od AS (SELECT file_id, page_no, box_name, unnest({s.suspicious("text")}) AS c FROM obs), dg AS (SELECT *, {_DIGITS} AS d FROM od),
+tw AS (SELECT file_id, page_no, substr(c, 1, 4) AS owner, right(d, 5) AS tail, count(DISTINCT box_name) AS n FROM dg WHERE length(d) >= 5 GROUP BY ALL),
+t2 AS (SELECT file_id, page_no, bool_or(n >= 2) AS twice FROM tw GROUP BY ALL)
+SELECT file_id, page_no, plain OR coalesce(twice, false) AS actionable FROM pl LEFT JOIN t2 USING (file_id, page_no)""",
+)
 def _(spark, d):
     return evidence.actionable(fx.enhanced_observations(spark, d))
 
 
-@query("A11_A14_enhanced_support")
+_SUPPORT = f"""
+sp0 AS (SELECT DISTINCT file_id, page_no, source, box_name, variant, code FROM (SELECT file_id, page_no, source, box_name, variant, unnest({s.candidates("text")}) AS code FROM obs)),
+sp1 AS (SELECT file_id, page_no, code, box_name, count(*) AS n, count(*) FILTER (source = '400dpi') AS high FROM sp0 GROUP BY ALL),
+sp AS (SELECT file_id, page_no, code, sum(n)::INTEGER AS n_supports, count(*)::INTEGER AS n_regions, max(high)::INTEGER AS n_high_variants FROM sp1 GROUP BY ALL)"""
+
+
+@query("A11_A14_enhanced_support", f"{_E}, {_SUPPORT} SELECT file_id, page_no, code, n_supports, n_regions, n_high_variants FROM sp")
 def _(spark, d):
     return evidence.enhanced_supports(fx.enhanced_observations(spark, d))
 
 
+_LONE = f"""
+hi AS (SELECT * FROM obs WHERE source = '400dpi'), hm AS (SELECT m.* FROM matches m JOIN hi USING (file_id, page_no, seq)),
+{s.ranking(s.PAGE, "hm", "h")},
+hn AS (SELECT file_id, page_no, count(DISTINCT code) AS n FROM (SELECT file_id, page_no, unnest({s.candidates("text")}) AS code FROM hi) GROUP BY ALL),
+tp AS (SELECT b.file_id, b.page_no, b.code FROM besth b JOIN hn USING (file_id, page_no) JOIN confirmed c USING (file_id, page_no) WHERE n = 1 AND b.score >= 140 AND b.code <> confirmation AND substr(b.code, 1, 4) = substr(confirmation, 1, 4)),
+rl AS (SELECT o.file_id, o.page_no, o.source, o.box_name, tp.code, unnest({s.suspicious("o.text")}) AS c FROM obs o JOIN tp USING (file_id, page_no)),
+rn AS (SELECT file_id, page_no, count(DISTINCT box_name) FILTER (source = '400dpi') AS high, count(DISTINCT box_name) FILTER (source = 'base') AS base FROM (SELECT *, {_DIGITS} AS d FROM rl) WHERE substr(c, 1, 4) = substr(code, 1, 4) AND length(d) >= 6 AND contains(substr(code, 5), d) GROUP BY ALL),
+rv AS (SELECT file_id, page_no, max(r) AS r FROM (SELECT o.file_id, o.page_no, x.code, count(DISTINCT box_name) AS r FROM (SELECT file_id, page_no, box_name, unnest({s.candidates("text")}) AS code FROM obs WHERE source = 'base') x JOIN tp o USING (file_id, page_no) WHERE x.code <> o.code GROUP BY ALL) GROUP BY ALL),
+lone AS (SELECT tp.* FROM tp JOIN rn USING (file_id, page_no) LEFT JOIN rv USING (file_id, page_no) WHERE high >= 2 AND base >= 1 AND coalesce(r, 0) < 2)"""
+
+
 def _confirmed(spark, d):
     o = fx.enhanced_observations(spark, d)
-    top = evidence.best(o).join(fx.files(spark, d).select("file_id", "code").withColumnRenamed("code", "confirmation"), "file_id").select("file_id", "page_no", "code", "confirmation")
-    return o, top
+    return o, evidence.best(o).join(fx.confirmations(spark, d), ["file_id", "page_no"]).select("file_id", "page_no", "code", "confirmation")
 
 
-@query("A14_override")
+@query(
+    "A14_override",
+    f"""{_E}, {s.ranking(s.PAGE)}, {_SUPPORT}, {_LONE},
+x AS (SELECT b.file_id, b.page_no, b.code, confirmation, l.code AS lone, coalesce(max(n_supports) FILTER (sp.code = b.code), 0) AS mine, coalesce(max(n_supports) FILTER (sp.code <> b.code), 0) AS others,
+  coalesce(max(n_regions) FILTER (sp.code = b.code), 0) AS boxes, coalesce(max(n_high_variants) FILTER (sp.code = b.code), 0) AS high
+  FROM best b JOIN confirmed c USING (file_id, page_no) LEFT JOIN sp ON sp.file_id = b.file_id AND sp.page_no = b.page_no LEFT JOIN lone l ON l.file_id = b.file_id AND l.page_no = b.page_no GROUP BY ALL)
+SELECT file_id, page_no, code, confirmation, confirmation IS NULL OR (mine > others AND (code = confirmation OR boxes >= 2 OR high >= 2)) OR (code <> confirmation AND coalesce(lone = code, false)) AS confirmed FROM x""",
+)
 def _(spark, d):
     return evidence.overrides(*_confirmed(spark, d))
 
 
-@query("A15_A16_authoritative")
+@query("A15_A16_authoritative", f"{_E}, {_LONE} SELECT file_id, page_no, code FROM lone")
 def _(spark, d):
-    o, top = _confirmed(spark, d)
-    return evidence.authoritative(o, top.select("file_id", "page_no", F.col("confirmation")))
+    return evidence.authoritative(fx.enhanced_observations(spark, d), fx.confirmations(spark, d).filter("confirmation is not null"))
 
 
-@query("A17_staged")
+@query(
+    "A17_staged",
+    f"""{_E}, {s.ranking(s.PAGE)}, {s.conflict(s.PAGE, "obs", "", "box_name")},
+w AS (SELECT file_id, page_no, code, count(DISTINCT box_name) AS boxes FROM (SELECT file_id, page_no, box_name, unnest({s.candidates("text")}) AS code FROM obs) GROUP BY ALL)
+SELECT j.file_id, j.page_no, j.code, j.score FROM judged j JOIN w USING (file_id, page_no, code) WHERE NOT is_repaired AND NOT strong AND boxes >= 2""",
+)
 def _(spark, d):
     return evidence.staged(fx.enhanced_observations(spark, d))
 
 
-@query("D1_D8_fast_results")
+_FRAME = "file_id, page_no, upto"
+_FAST = f"""{s.MATCHES},
+f0 AS (SELECT * FROM obs WHERE stage = 'full' UNION ALL SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY file_id, page_no ORDER BY seq) AS k FROM obs WHERE stage = 'priority') WHERE k <= 3),
+pre AS (SELECT o.*, e.seq AS upto FROM f0 o JOIN f0 e ON o.file_id = e.file_id AND o.page_no = e.page_no AND o.seq <= e.seq),
+prematches AS (SELECT m.*, p.upto FROM matches m JOIN pre p ON m.file_id = p.file_id AND m.page_no = p.page_no AND m.seq = p.seq),
+{s.ranking(_FRAME, "prematches", "p")}, {s.conflict(_FRAME, "pre", "p")},
+sh AS (SELECT file_id, page_no, max(seq) FILTER (stage = 'full') AS full_seq, max(seq) AS last_seq FROM f0 GROUP BY ALL),
+st AS (SELECT file_id, page_no, min(upto) AS stop FROM judgedp JOIN sh USING (file_id, page_no) WHERE (upto = full_seq AND score >= 140) OR (upto <> coalesce(full_seq, -1) AND NOT is_repaired AND NOT strong AND n_regions >= 2) GROUP BY ALL),
+rd AS (SELECT file_id, page_no, coalesce(stop, last_seq) AS upto FROM sh LEFT JOIN st USING (file_id, page_no)),
+seen AS (SELECT f0.* FROM f0 JOIN rd USING (file_id, page_no) WHERE seq <= upto),
+wd AS (SELECT file_id, page_no, string_agg(chr(10) || '[' || region_name || ']' || chr(10) || coalesce(text, ''), '' ORDER BY seq) AS words FROM seen GROUP BY ALL),
+iv0 AS (SELECT file_id, page_no, seq, region_name, unnest({s.invalid("text")}) AS code, unnest(range(len({s.invalid("text")}))) AS nth_ FROM seen),
+iv1 AS (SELECT file_id, page_no, code, count(DISTINCT region_name) AS n, min(seq * 1000 + nth_) AS ord FROM iv0 GROUP BY ALL),
+iv AS (SELECT file_id, page_no, code AS wrong FROM (SELECT *, row_number() OVER (PARTITION BY file_id, page_no ORDER BY n DESC, ord) AS k FROM iv1) WHERE k = 1),
+pg AS (SELECT w.file_id, w.page_no, j.code, j.is_repaired, j.raw, j.strong, iv.wrong, string_agg(w.words, '') OVER (PARTITION BY w.file_id ORDER BY w.page_no) AS ocr_text
+  FROM wd w JOIN rd USING (file_id, page_no) LEFT JOIN judgedp j ON j.file_id = w.file_id AND j.page_no = w.page_no AND j.upto = rd.upto LEFT JOIN iv ON iv.file_id = w.file_id AND iv.page_no = w.page_no),
+bd AS (SELECT *, {s.invalid("ocr_text")}[1] AS bad FROM pg),
+pk AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY code IS NULL AND bad IS NULL, CASE WHEN code IS NULL AND bad IS NULL THEN -page_no ELSE page_no END) AS k FROM bd),
+nm AS (SELECT file_id, {s.candidates(_STEM)}[1] AS good_name, {s.invalid(_STEM)}[1] AS bad_name FROM files),
+al AS (SELECT n.file_id, good_name, bad_name, p.code, p.is_repaired, p.raw, p.strong, coalesce(p.wrong, p.bad) AS wrong, coalesce(p.ocr_text, '') AS ocr_text,
+  CASE WHEN p.code IS NOT NULL THEN CASE WHEN p.strong THEN 'clash' ELSE 'good' END WHEN p.bad IS NOT NULL THEN 'wrong' WHEN good_name IS NOT NULL THEN 'name' WHEN bad_name IS NOT NULL THEN 'badname' ELSE 'none' END AS kind
+  FROM nm n LEFT JOIN (SELECT * FROM pk WHERE k = 1) p USING (file_id)),
+fn AS (SELECT *, CASE kind WHEN 'wrong' THEN wrong WHEN 'badname' THEN bad_name WHEN 'name' THEN good_name END AS named, {s.suspicious_note("ocr_text")} AS said, {s.guessed("ocr_text")} AS meant, {s.suspicious("ocr_text")} AS odd FROM al)
+SELECT file_id, CASE WHEN kind IN ('good', 'name') THEN '正确识别' WHEN kind = 'none' THEN '未识别' ELSE '箱号错误' END AS status, CASE WHEN kind IN ('good', 'clash') THEN code ELSE named END AS container_code,
+  CASE WHEN kind = 'good' AND is_repaired THEN 'OCR修正' WHEN kind IN ('good', 'clash', 'wrong') THEN 'OCR' WHEN kind <> 'none' THEN '文件名' END AS source,
+  CASE WHEN kind = 'clash' THEN 'CONFLICTING_CANDIDATES' WHEN kind IN ('wrong', 'badname') THEN 'INVALID_CHECK_DIGIT' WHEN kind = 'none' THEN 'NO_CONTAINER_CANDIDATE' END AS failure_reason,
+  CASE WHEN kind = 'good' AND is_repaired THEN 'OCR修正原始片段: ' || raw WHEN kind = 'clash' THEN '候选冲突，需人工复核: ' || code || CASE WHEN len(odd) > 0 THEN '；疑似候选: ' || {s.listed("odd")} ELSE '' END
+    WHEN kind IN ('wrong', 'badname') THEN nullif(concat_ws('；', {s.repair_note("named")}, said), '') WHEN kind = 'none' THEN said END AS review_note,
+  CASE WHEN kind = 'clash' THEN code WHEN kind IN ('wrong', 'badname') THEN coalesce(CASE WHEN len({s.repairs("named")}) = 1 THEN {s.repairs("named")}[1] END, meant) WHEN kind = 'none' THEN meant END AS review_code, ocr_text FROM fn"""
+
+
+@query("D1_D8_fast_results", _FAST)
 def _(spark, d):
     return decide.fast_results(fx.files(spark, d).withColumnRenamed("original_name", "name"), fx.observations(spark, d))
 
@@ -557,9 +626,13 @@ def _(spark, d):
 
 @query(
     "K1_W4_output_plan",
-    f"""{s.RESULTS}, w AS (SELECT *, {s.target("original_name", "status", "container_code", "review_code")} AS want FROM results), x AS (SELECT *, coalesce(output_relative_path = status || '/' || want, false) AS stays FROM w),
-n AS (SELECT *, row_number() OVER (PARTITION BY status, want ORDER BY stays DESC, file_ord, relative_name) - 1 AS k FROM x)
-SELECT 'all' AS batch_id, relative_name, status AS dir, CASE WHEN k = 0 THEN want ELSE regexp_replace(want, '\\.[^.]+$', '') || '-' || k || regexp_extract(want, '\\.[^.]+$') END AS name, status || '/' || CASE WHEN k = 0 THEN want ELSE regexp_replace(want, '\\.[^.]+$', '') || '-' || k || regexp_extract(want, '\\.[^.]+$') END AS target FROM n""",
+    f"""WITH RECURSIVE {s.RESULTS.strip()}, w AS (SELECT *, {s.target("original_name", "status", "container_code", "review_code")} AS want FROM results),
+x AS (SELECT relative_name, status, want, regexp_replace(want, '\\.[^.]+$', '') AS stem, regexp_extract(want, '\\.[^.]+$') AS ext, coalesce(output_relative_path = status || '/' || want, false) AS stays, file_ord FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY status, regexp_replace(stem, '(-[1-9][0-9]*)+$', '') || ext ORDER BY stays DESC, file_ord, relative_name) AS i, regexp_replace(stem, '(-[1-9][0-9]*)+$', '') || ext AS root FROM x),
+p AS (SELECT status, root, i, relative_name, want AS name, [want] AS taken FROM o WHERE i = 1
+  UNION ALL SELECT o.status, o.root, o.i, o.relative_name, n.name, list_append(p.taken, n.name) FROM p JOIN o ON o.status = p.status AND o.root = p.root AND o.i = p.i + 1,
+  LATERAL (SELECT CASE WHEN NOT list_contains(p.taken, o.want) THEN o.want ELSE list_filter(list_transform(range(1, len(p.taken) + 2), lambda k: o.stem || '-' || k || o.ext), lambda c: NOT list_contains(p.taken, c))[1] END AS name) n)
+SELECT 'all' AS batch_id, relative_name, status AS dir, name, status || '/' || name AS target FROM p""",
 )
 def _(spark, d):
     return reconcile.output_plan(_one_batch(spark, d))
@@ -618,7 +691,7 @@ def _(spark, d):
 
 # -- verification ------------------------------------------------------------------------------------------------------
 _BASE = f"""{s.RESULTS},
-bl0 AS (SELECT *, file_id % 10 AS m FROM files WHERE file_id % 7 = 0),
+bl0 AS (SELECT *, file_id % 10 AS m FROM files),
 bl AS (SELECT CASE WHEN file_id % 13 = 0 THEN 'absent-' || file_id WHEN file_id % 3 = 0 THEN original_name ELSE relative_name END AS filename, CASE WHEN m <= 5 AND file_id % 4 <> 0 THEN code WHEN m = 9 THEN wrong END AS want,
   CASE WHEN file_id % 5 = 3 THEN NULL WHEN m <= 5 THEN '正确识别' WHEN m <= 7 THEN '箱号错误' ELSE '未识别' END AS st, CASE WHEN file_id % 5 = 3 THEN m <= 5 ELSE m <= 5 END AS should, file_id % 2 = 0 AS allow, 'tag' || (file_id % 4) AS quality_tag FROM bl0),
 l1 AS (SELECT relative_name AS filename, status, container_code, review_code FROM results),

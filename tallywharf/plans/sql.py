@@ -127,7 +127,7 @@ FILES = f"""
 fx0 AS (SELECT *, o_orderkey - CASE WHEN o_orderkey % 50 = 1 THEN 1 ELSE 0 END AS k FROM orders),
 fx1 AS (SELECT o_orderkey AS file_id, o_orderkey AS file_ord, o_orderstatus AS batch_id, CASE WHEN o_orderstatus = 'F' THEN '.pdf' ELSE '.jpg' END AS suffix,
   {coded("k")} AS code, {coded("k", 1)} AS wrong FROM fx0),
-fx2 AS (SELECT *, CASE file_id % 11 WHEN 0 THEN code || suffix WHEN 1 THEN wrong || suffix ELSE 'scan-' || (file_id % 7000)::VARCHAR || suffix END AS original_name FROM fx1),
+fx2 AS (SELECT *, CASE file_id % 11 WHEN 0 THEN code || suffix WHEN 1 THEN wrong || suffix ELSE 'scan-' || (file_id % 7000)::VARCHAR || CASE WHEN file_id % 11 <= 4 THEN '-1' ELSE '' END || suffix END AS original_name FROM fx1),
 files AS (SELECT *, batch_id || '/' || (file_id // 10)::VARCHAR || '/' || original_name AS relative_name FROM fx2)"""
 
 OBS = f"""{FILES},
@@ -165,6 +165,18 @@ inspected AS (SELECT 'valid' AS kind, entry_pos * 1000 + nth_ AS pos, code AS va
 expected AS (SELECT pos, value AS code FROM inspected WHERE kind = 'valid')"""
 
 
+ENHANCED = f"""
+src(so, source) AS (VALUES (1, '400dpi'), (2, 'base')), bx(bo, box_name) AS (VALUES (1, 'full-middle'), (2, 'left-middle'), (3, 'left-lower-middle')), va(vo, variant) AS (VALUES (1, 'plain'), (2, 'x2sharp'), (3, 'x2binary')), ps(psm) AS (VALUES (6), (11)),
+eo0 AS (SELECT *, (so - 1) * 9 + (bo - 1) * 3 + vo - 1 AS ix, substr(code, 1, 4) || 'X' || substr(code, 6) AS broken FROM files CROSS JOIN src CROSS JOIN bx CROSS JOIN va CROSS JOIN ps
+  WHERE (source = 'base' OR suffix = '.pdf') AND (variant <> 'x2binary' OR suffix <> '.pdf' OR source = '400dpi')),
+obs AS (SELECT file_id, 1 AS page_no, (100 + ix * 3 + CASE WHEN psm = 6 THEN 0 ELSE 1 END)::INTEGER AS seq, 'enhanced-' || source || '-' || box_name || '-' || variant AS region_name, source, box_name, variant,
+  CASE file_id % 3 WHEN 1 THEN CASE WHEN source = '400dpi' AND bo = 1 THEN code || ' 45G1' ELSE broken END WHEN 2 THEN CASE WHEN bo <= 2 THEN code || ' 45G1' ELSE 'NOISE' END
+  ELSE CASE (file_id * 5 + ix * 3 + psm) % 9 WHEN 3 THEN wrong WHEN 4 THEN substr(code, 1, 6) || 'X' || substr(code, 8) WHEN 5 THEN {coded("(file_id + 5)")} WHEN 6 THEN substr(code, 1, 4) || 'Q' || substr(code, 6)
+    WHEN 7 THEN 'NOISE' WHEN 8 THEN 'NOISE' ELSE code || ' 45G1' END END AS text FROM eo0),
+cf0 AS (SELECT file_id, code, substr(code, 1, 4) || lpad(((file_id * 7919 + 3) % 1000000)::VARCHAR, 6, '0') AS ten FROM files),
+confirmed AS (SELECT file_id, 1 AS page_no, CASE file_id % 4 WHEN 0 THEN code WHEN 1 THEN ten || {digit("ten")}::VARCHAR WHEN 2 THEN {coded("(file_id + 5)")} END AS confirmation FROM cf0)"""
+
+
 def scored(rep: bool) -> str:
     p = EXTRA if rep else CLEAN
     return f"""
@@ -183,6 +195,9 @@ m{int(rep)} AS (SELECT file_id, page_no, seq, i, code, raw, start, stop, {str(re
 MATCHES = f"""{OBS}, {scored(False)}, {scored(True)}, matches AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1)"""
 
 
+EMATCHES = f"""{FILES}, {ENHANCED}, {scored(False)}, {scored(True)}, matches AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1)"""
+
+
 def ranking(keys: str, source: str = "matches", tag: str = "") -> str:
     """CTEs rank{tag} and best{tag}."""
     return f"""
@@ -191,13 +206,13 @@ rank{tag} AS (SELECT {keys}, is_repaired, code, max(score + 5 * (b - a + CASE WH
 best{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY is_repaired, score DESC, ord) AS place FROM rank{tag}) WHERE place = 1)"""
 
 
-def conflict(keys: str, obs: str, tag: str = "") -> str:
+def conflict(keys: str, obs: str, tag: str = "", region: str = "region_name") -> str:
     """CTE judged{tag}: keys, code, n_regions, competing, repeated, strong for the codes of best{tag}."""
     on = " AND ".join(f"x.{k.strip()} = y.{k.strip()}" for k in keys.split(","))
     xs = ", ".join(f"x.{k.strip()}" for k in keys.split(","))
     return f"""
-sup{tag} AS (SELECT {keys}, code, count(DISTINCT region_name)::INTEGER AS n FROM (SELECT {keys}, region_name, unnest({candidates("text")}) AS code FROM {obs}) GROUP BY {keys}, code),
-sus{tag} AS (SELECT {keys}, code, count(DISTINCT region_name)::INTEGER AS n FROM (SELECT {keys}, region_name, unnest({suspicious("text")}) AS code FROM {obs}) GROUP BY {keys}, code),
+sup{tag} AS (SELECT {keys}, code, count(DISTINCT {region})::INTEGER AS n FROM (SELECT {keys}, {region}, unnest({candidates("text")}) AS code FROM {obs}) GROUP BY {keys}, code),
+sus{tag} AS (SELECT {keys}, code, count(DISTINCT {region})::INTEGER AS n FROM (SELECT {keys}, {region}, unnest({suspicious("text")}) AS code FROM {obs}) GROUP BY {keys}, code),
 own{tag} AS (SELECT {xs}, x.code, x.score, x.is_repaired, x.raw, coalesce(max(y.n) FILTER (y.code = x.code), 0) AS n, coalesce(max(s.score) FILTER (s.code = x.code), 0) AS own_score
   FROM best{tag} x LEFT JOIN sup{tag} y ON {on} LEFT JOIN rank{tag} s ON {on.replace("y.", "s.")} AND NOT s.is_repaired GROUP BY ALL),
 com{tag} AS (SELECT {xs}, list_sort(list(DISTINCT y.code)) AS competing, bool_or(y.n >= 2 OR x.n <= 1 OR coalesce(s.score, 0) >= x.own_score) AS hard

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import os
 from collections.abc import Callable
 
@@ -45,24 +46,55 @@ def without_bom(c: Column) -> Column:
 
 
 def expected_entries(spark: SparkSession, path: str) -> DataFrame:
-    """entry_pos, entry from a .txt (lines) or .csv (cells that aren't blank, row by row) list. Spreadsheets: hand in their cells as such rows."""
+    """entry_pos, entry from a .txt (lines), .csv (cells that aren't blank, row by row, of any width) or .xlsx (cells of the active sheet that aren't empty) list."""
     kind = os.path.splitext(path)[1].lower()
-    if kind == ".xlsx":
-        raise ValueError("no reader for spreadsheets here: hand in rows (entry_pos, entry)")
-    lines = spark.read.text(path, wholetext=True).select(F.split(without_bom(F.col("value")), "\r\n|\n|\r", -1).alias("v"))
-    rows = lines.select(F.posexplode("v").alias("line", "entry"))
-    if kind != ".csv":
-        return rows.select(F.col("line").cast("long").alias("entry_pos"), "entry")
-    width = 64
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    cells = rows.select("line", F.from_csv("entry", schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"}).alias("r")).select("line", F.posexplode(F.array(*(F.col(f"r.c{i}") for i in range(width)))).alias("cell", "entry"))
-    return cells.filter(F.trim(F.coalesce("entry", F.lit(""))) != "").select((F.col("line").cast("long") * width + F.col("cell")).alias("entry_pos"), "entry")
+    if kind not in (".csv", ".xlsx"):
+        lines = spark.read.text(path, wholetext=True).select(F.split(without_bom(F.col("value")), "\r\n|\n|\r", -1).alias("v"))
+        return lines.select(F.posexplode("v").alias("line", "entry")).select(F.col("line").cast("long").alias("entry_pos"), "entry")
+
+    def cells(frames):  # a list that people keep: one file, read by one task, as a stream of frames
+        import csv
+
+        import pandas as pd
+
+        from . import sheets
+
+        for frame in frames:
+            for content in frame["content"]:
+                found = sheets.rows(content) if kind == ".xlsx" else csv.reader(content.decode("utf-8-sig", "ignore").splitlines())
+                entries = [v for row in found for v in row if v is not None and (kind == ".xlsx" or v.strip())]
+                for lo in range(0, len(entries), 10_000):
+                    part = entries[lo : lo + 10_000]
+                    yield pd.DataFrame({"entry_pos": range(lo, lo + len(part)), "entry": part})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "entry_pos long, entry string")
+
+
+def prior_results(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a report's index (the hidden sheet, else the visible one) by header: the columns of reconcile.index_rows() and row_no."""
+    columns = ["original_name", "relative_name", "container_code", "source", "failure_reason", "review_code", "status", "output_relative_path"]
+
+    def read(frames):
+        import pandas as pd
+
+        from . import sheets, sinks
+
+        of = dict(zip(sinks.INDEX_HEADERS, columns, strict=True)) | {sinks.RESULT_HEADERS[1]: "container_code"}
+        for frame in frames:
+            for content in frame["content"]:
+                there = sheets.names(content)
+                found = list(sheets.rows(content, sinks.INDEX_SHEET if sinks.INDEX_SHEET in there else None))
+                heads = [of.get(h) for h in found[0]] if found else []
+                rows = [{h: v for h, v in zip(heads, row, strict=False) if h} | {"row_no": i} for i, row in enumerate(found[1:])]
+                yield pd.DataFrame(rows, columns=[*columns, "row_no"]).astype(object).where(lambda x: x.notna(), None)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"{c} string" for c in columns) + ", row_no long")
 
 
 def csv_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of a CSV with a header, by header name; row_no keeps their order. Missing columns are null."""
     head = spark.read.text(path).limit(1).collect()
-    names = [c.strip() for c in head[0][0].lstrip("﻿").split(",")] if head else []
+    names = [c.strip() for c in next(csv.reader([head[0][0].lstrip("﻿")]), [])] if head else []
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=True) if names else spark.createDataFrame([], "filename string")
     return rows.select(*(F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns), F.monotonically_increasing_id().alias("row_no"))

@@ -1,7 +1,7 @@
 """Incremental results: each micro-batch is merged into a table of results, later duplicates demote earlier successes, and progress follows.
 
-The state is a pair of Parquet folders used in turn, named by batch id, so a batch that is replayed after a failure gives the same state. The final state equals
-the batch operators' results on all rows, in whatever order they came.
+The state is kept in buckets by batch of files. A micro-batch reads and writes only the buckets it touches, into a folder of its own number, so one that is replayed after a failure gives the
+same state; a bucket's newest version is its state, and versions older than the one before are deleted. The final state equals the batch operators' results on all rows, in whatever order they came.
 """
 
 from __future__ import annotations
@@ -15,25 +15,53 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import reconcile
 
 EVENTS = "kind string, batch long, relative_name string, status string, previous_status string"
+BUCKETS = 64
 
 
 def at(path: str, batch: int) -> str:
     return os.path.join(path, f"state-{batch}")
 
 
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last complete state, of a batch before the given one."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    found = []
-    for s in fs.listStatus(fs_path):
+def bucket():
+    return F.pmod(F.xxhash64("batch_id"), F.lit(BUCKETS)).cast("int")
+
+
+def file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """For each bucket the numbers of the complete micro-batches that wrote it, newest first."""
+    fs, of = file_system(spark, path)
+    out: dict[int, list[int]] = {}
+    if not fs.exists(of(path)):
+        return out
+    for s in fs.listStatus(of(path)):
         name = s.getPath().getName()
-        if name.startswith("state-") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            found.append(int(name[6:]))
-    found = [b for b in found if before is None or b < before]
-    return spark.read.parquet(at(path, max(found))) if found else None
+        if name.startswith("state-") and fs.exists(of(s.getPath(), "_SUCCESS")):
+            for b in fs.listStatus(s.getPath()):
+                if b.getPath().getName().startswith("bucket="):
+                    out.setdefault(int(b.getPath().getName()[7:]), []).append(int(name[6:]))
+    return {b: sorted(v, reverse=True) for b, v in out.items()}
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """The last complete state, of micro-batches before the given one; of some buckets, or of all."""
+    found = []
+    for b, v in versions(spark, path).items():
+        v = [x for x in v if before is None or x < before]
+        if v and (buckets is None or b in buckets):
+            found.append(os.path.join(at(path, v[0]), f"bucket={b}"))
+    return spark.read.parquet(*found) if found else None
+
+
+def clean(spark: SparkSession, path: str, upto: int) -> None:
+    """Deletes versions older than the one before the newest, of micro-batches up to `upto`."""
+    fs, of = file_system(spark, path)
+    for b, v in versions(spark, path).items():
+        for old in [x for x in v if x <= upto][2:]:
+            fs.delete(of(os.path.join(at(path, old), f"bucket={b}")), True)
 
 
 def merge(state: DataFrame | None, new: DataFrame, key: tuple[str, ...] = ("batch_id", "relative_name")) -> DataFrame:
@@ -58,11 +86,15 @@ def run(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> Str
     spark = stream.sparkSession
 
     def each(rows: DataFrame, batch: int) -> None:
-        state = latest(spark, path, batch)
+        touched = {r[0] for r in rows.select(bucket()).distinct().collect()}  # BUCKETS at most
+        if not touched:
+            return
+        state = latest(spark, path, batch, touched)
         merged = merge(state, rows)
-        merged.write.mode("overwrite").parquet(at(path, batch))
-        done = spark.read.parquet(at(path, batch))
+        merged.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(at(path, batch))
+        done = spark.read.parquet(at(path, batch)).drop("bucket")
         events(state, done, batch).write.mode("overwrite").parquet(os.path.join(path, "events", f"batch={batch}"))
+        clean(spark, path, batch)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()

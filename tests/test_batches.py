@@ -1,12 +1,15 @@
 """Batches: duplicates, expected lists, resume, review confirmation, verification, sources and streaming."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallywharf.functions import notes
-from tallywharf.operators import reconcile, verify
+from tallywharf.operators import batch, reconcile, verify
 from tallywharf.sources import files as sources
+from tallywharf.sources import sheets, sinks
 from tallywharf.streaming import upserts
 
 COLS = "batch_id string, file_ord long, relative_name string, original_name string, status string, container_code string, source string, failure_reason string, review_note string, review_code string, ocr_text string, elapsed_ms int, output_relative_path string"
@@ -107,8 +110,10 @@ def test_lists_and_baselines(spark, tmp_path):
     (tmp_path / "e.csv").write_text('﻿A,"b, c",\n ,d\n', encoding="utf-8")
     entries = lambda n: [r["entry"] for r in sources.expected_entries(spark, str(tmp_path / n)).orderBy("entry_pos").collect()]
     assert entries("e.txt") == ["HNKU6331795", "", "x"] and entries("e.csv") == ["A", "b, c", "d"]
-    with pytest.raises(ValueError, match="spreadsheets"):
-        sources.expected_entries(spark, "x.xlsx")
+    (tmp_path / "wide.csv").write_text(",".join(f"c{i}" for i in range(100)) + '\n"two\nlines",x\n', encoding="utf-8")
+    assert entries("wide.csv") == [f"c{i}" for i in range(100)] + ["twolines", "x"]
+    (tmp_path / "e.xlsx").write_bytes(sheets.workbook([("one", [["HNKU6331795", None, 7], [], ["a & <b>", 2.5]], False, [])]))
+    assert entries("e.xlsx") == ["HNKU6331795", "7", "a & <b>", "2.5"]
     (tmp_path / "baseline.csv").write_text("﻿filename,expected_code,should_recognize\na.jpg,C1,yes\nb.jpg,,no\n", encoding="utf-8")
     assert sources.default_baseline(str(tmp_path)).endswith("baseline.csv")
     e = verify.expectations(sources.baseline_rows(spark, str(tmp_path / "baseline.csv")))
@@ -149,3 +154,83 @@ def test_stream_ends_where_the_batch_does(spark, tmp_path):
     assert sorted(map(tuple, state.select(cols).collect()), key=str) == sorted(map(tuple, reconcile.mark_duplicates(r).select(cols).collect()), key=str)
     events = {(e["kind"], e["relative_name"]) for e in spark.read.parquet(str(tmp_path / "out" / "events")).collect()}
     assert ("reclassified", "a") in events or ("reclassified", "c") in events
+
+
+def test_stream_rewrites_what_it_touches_and_cleans_up(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [results(spark, (f"f{k}", notes.SUCCESS, f"C{k % 2}", None)).withColumn("batch_id", F.lit("x" if k < 4 else "y")).withColumn("file_ord", F.lit(k).cast("long")) for k in range(5)]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{src}/{k}")
+        stream = spark.readStream.schema(part.schema).parquet(src + "/*")
+        upserts.run(stream, out, str(tmp_path / "ck")).awaitTermination(120)
+    kept = upserts.versions(spark, out)
+    assert sorted(map(len, kept.values())) == [1, 2] and max(v[0] for v in kept.values()) == 4
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    cols = ["relative_name", "status", "review_code"]
+    assert sorted(map(str, upserts.latest(spark, out).select(cols).collect())) == sorted(map(str, reconcile.mark_duplicates(every).select(cols).collect()))
+
+
+def names_by_hand(rows):
+    """Files copied one after the other, each to the first free name of its folder."""
+    taken, out = set(), {}
+    for rel, folder, want, there in sorted(rows, key=lambda r: not r[3]):
+        stem, dot, ext = want.rpartition(".")
+        name, k = want, 1
+        while (folder, name) in taken:
+            name, k = f"{stem}-{k}.{ext}", k + 1
+        taken.add((folder, name))
+        out[rel] = name
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_output_names_are_free_ones(spark, seed):
+    rnd = random.Random(seed)
+    pool = ["A.jpg", "A-1.jpg", "A-2.jpg", "A-1-1.jpg", "A-1-2.jpg", "A-01.jpg", "B.jpg", "B-3.jpg", "C-1.jpg", "A-1.pdf", "A-1-1-1.jpg"]
+    wants = ["A.jpg", "A.jpg", "A-1.jpg"] if not seed else [rnd.choice(pool) for _ in range(60)]
+    rows, held = [], set()
+    for i, w in enumerate(wants):
+        there = seed == 2 and w not in held and rnd.random() < 0.2
+        held |= {w} if there else set()
+        rows.append((f"r{i:02}", notes.UNRECOGNIZED, w, there))
+    r = spark.createDataFrame([("b", i, rel, w, folder, None, None, f"{folder}/{w}" if there else None) for i, (rel, folder, w, there) in enumerate(rows)], "batch_id string, file_ord long, relative_name string, original_name string, status string, container_code string, review_code string, output_relative_path string")
+    got = reconcile.output_plan(r).collect()
+    assert {x["relative_name"]: x["name"] for x in got} == names_by_hand(rows) and len({x["target"] for x in got}) == len(rows)
+
+
+def test_reports_are_written_and_read_back(spark, tmp_path):
+    r = results(spark, ("x/a", notes.SUCCESS, "C1", None), ("b", notes.UNRECOGNIZED, None, "C2"))
+    e = expected(spark, "C1", "C9")
+    book = str(tmp_path / "out" / "r.xlsx")
+    bad = spark.createDataFrame([("??", 1)], "value string, pos long")
+    assert sinks.write_workbook(r, book, reconcile.comparison_sheet(e, r, bad)) == book
+    data = (tmp_path / "out" / "r.xlsx").read_bytes()
+    assert sheets.names(data) == [sinks.RESULT_SHEET, sinks.INDEX_SHEET, sinks.COMPARISON_SHEET]
+    assert [row[1:3] for row in sheets.rows(data)] == [sinks.RESULT_HEADERS[1:3], ["C1", notes.SUCCESS], ["C2", notes.UNRECOGNIZED]]
+    prior = sorted(((x["relative_name"], x["status"], x["review_code"], x["row_no"]) for x in sources.prior_results(spark, book).collect()))
+    assert [(a, b, d) for a, b, _, d in prior] == [("b", notes.UNRECOGNIZED, 1), ("x/a", notes.SUCCESS, 0)]
+    csv_path = sinks.write_csv(r.select("relative_name", "status"), str(tmp_path / "d.csv"), ["relative_name", "status"])
+    assert (tmp_path / "d.csv").read_text(encoding="utf-8-sig").splitlines()[0] == "relative_name,status" and csv_path.endswith("d.csv")
+    assert sinks.write_missing(reconcile.missing_list(e, r), str(tmp_path / "m.txt")) and (tmp_path / "m.txt").read_text(encoding="utf-8") == "C9\n"
+    journal = str(tmp_path / "s" / "j.jsonl")
+    assert sinks.append_journal(r, journal) == 2 and sinks.append_journal(r.filter("file_ord = 0"), journal) == 1
+    back = sources.recovered(sources.journal_lines(spark, journal), r.select("relative_name")).collect()
+    assert {x["relative_name"] for x in back} == {"x/a", "b"}
+    assert not sinks.clear_journal(journal, book, book + "x") and sinks.clear_journal(journal, book, book) and not sinks.clear_journal(journal, book, book)
+
+
+def test_a_whole_batch(spark):
+    files = spark.createDataFrame([(1, "b", 0, "x/a.jpg", "a.jpg"), (2, "b", 1, "y/a.jpg", "a.jpg"), (3, "b", 2, "c.jpg", "c.jpg"), (4, "o", 0, "a.jpg", "a.jpg")], "file_id long, batch_id string, file_ord long, relative_name string, original_name string")
+    seen = spark.createDataFrame([(1, "HNKU6331795 45G1"), (2, "CNTR HNKU6331795"), (3, "nothing"), (4, "HNKU6331795 45G1")], "file_id long, text string").selectExpr("file_id", "1 AS page_no", "1 AS seq", "'full' AS stage", "'full' AS region_name", "CAST(NULL AS INT) AS psm", "text")
+    entries = spark.createDataFrame([(0, "HNKU6331795"), (1, "TEMU6779790"), (2, "bad")], "entry_pos long, entry string")
+    out = batch.run(files, seen, "fast", entries)
+    got = {(r["batch_id"], r["relative_name"]): (r["status"], r["failure_reason"], r["output_relative_path"]) for r in out.results.collect()}
+    assert got[("b", "x/a.jpg")] == got[("b", "x/a.jpg")][:0] + (notes.INVALID, notes.DUPLICATE, f"{notes.INVALID}/HNKU6331795-待确认.jpg")
+    assert got[("b", "y/a.jpg")][2] == f"{notes.INVALID}/HNKU6331795-待确认-1.jpg" and got[("o", "a.jpg")] == (notes.SUCCESS, None, f"{notes.SUCCESS}/HNKU6331795.jpg")
+    assert got[("b", "c.jpg")][0] == notes.UNRECOGNIZED
+    assert {r["line"] for r in out.missing.collect()} == {"TEMU6779790"} and out.counts.first()["invalid"] == 1 and out.comparison.count() == 2
+    assert {(r["batch_id"], r["success"]) for r in out.progress.collect()} == {("b", 0), ("o", 1)}
+    again = batch.run(files, seen.filter("file_id <> 4"), "fast", entries, prior=out.results)
+    assert {r["relative_name"]: r["status"] for r in again.results.filter("batch_id = 'o'").collect()} == {"a.jpg": notes.SUCCESS} and again.results.count() == 4
