@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, compact, hot_keys, light, looked_up, on_disk, ship, spread_join, trim, whole_text, worker_table
+from .common import arrow_map, compact, hot_keys, looked_up, on_disk, ship, spread_join, trim, whole_text, worker_table
 from .near_dedup import mixed
 from .suffixes import repeated
 
@@ -233,10 +233,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     need = compact(spread_join(kinds, groups, ["v"], ["seg"], looked_up(hot_keys(groups, ["v"], "different"))).select("v", "seg", "seg2", "copies", "different", "at.did", "at.ka", "at.nb", "at.lo", F.col("at.starts").alias("n")), "need")
     parts = [whole]
     if not need.isEmpty():
-        ids = on_disk(need.select("did", "ka", "nb").distinct())
-        some = docs.join(light(ids, ids.count(), 64), ["did", "ka", "nb"], "left_semi")
         cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("n") + length - 1)
-        pieces = compact(need.join(some, ["did", "ka", "nb"]).select("v", "seg", "seg2", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", None, PIECE_ROWS)
+        pieces = compact(need.join(docs.filter(F.col("nb") >= length), ["did", "ka", "nb"]).select("v", "seg", "seg2", "copies", "different", "did", "ka", "nb", "lo", "n", cut.alias("piece")), "pieces", None, PIECE_ROWS)
         parts.append(shard_spans(pieces.filter(F.col("different") <= hot), length, shard_bytes))
         many = pieces.filter(F.col("different") > hot)
         if not many.isEmpty():
@@ -267,8 +265,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     text = whole_text(text_col)
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("ka"), F.octet_length(text).alias("nb")]
     spans = compact(repeated_spans(docs.select(*keys, text.alias("text")), length, **bounds), "spans", None, PIECE_ROWS)
-    n_spans = spans.select(F.sum(F.size("spans"))).first()[0] or 0
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(light(spans, n_spans, 64), ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("_rest"), text.alias("_text"), *keys).join(spans, ["did", "ka", "nb"], "left").select("_rest", "_text", "spans")
 
     def one(batch):
         import pyarrow as pa
