@@ -234,3 +234,16 @@ def test_a_whole_batch(spark):
     assert {(r["batch_id"], r["success"]) for r in out.progress.collect()} == {("b", 0), ("o", 1)}
     again = batch.run(files, seen.filter("file_id <> 4"), "fast", entries, prior=out.results)
     assert {r["relative_name"]: r["status"] for r in again.results.filter("batch_id = 'o'").collect()} == {"a.jpg": notes.SUCCESS} and again.results.count() == 4
+
+
+def test_recognisers_and_drafts_are_read(spark, tmp_path):
+    import pandas as pd
+
+    def read(frames):
+        for f in frames:
+            yield pd.DataFrame({"file_id": f["file_id"], "page_no": 1, "seq": 1, "stage": "full", "region_name": "full", "psm": None, "text": f["file_id"] + "!"}).astype({"psm": "Int32"})
+
+    assert [tuple(r) for r in sources.observed(spark.createDataFrame([("a",)], "file_id string"), read).collect()] == [("a", 1, 1, "full", "full", None, "a!")]
+    (tmp_path / "draft.csv").write_text('﻿filename,"expected_code",confirmed\n"a, b.jpg",C1,true\n', encoding="utf-8")
+    got = sources.draft_rows(spark, str(tmp_path / "draft.csv")).first()
+    assert (got["filename"], got["expected_code"], got["confirmed"], got["notes"]) == ("a, b.jpg", "C1", "true", None)
