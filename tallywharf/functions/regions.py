@@ -74,15 +74,15 @@ def grid_regions(pages: DataFrame) -> DataFrame:
     return out.filter((F.col("right") - F.col("left") >= LEAST_SIDE) & (F.col("bottom") - F.col("top") >= LEAST_SIDE))
 
 
-def enhanced_names(files: DataFrame, mode: str = "balanced") -> DataFrame:
-    """files: file_id, suffix. The enhanced regions of a file in order: seq, source, box_name, variant, region_name."""
+def enhanced_names(files: DataFrame, mode: str = "balanced", *carried: str) -> DataFrame:
+    """files: file_id, suffix. The enhanced regions of a file in order: carried (columns of files), seq, source, box_name, variant, region_name."""
     boxes = [b[0] for b in (ENHANCED if mode == "stable" else ENHANCED[:ENHANCED_OUTSIDE_STABLE])]
     every = [(s, b, v) for s in SOURCES for b in boxes for v in VARIANTS]
     rows = F.array(*(F.struct(F.lit(i).alias("at"), *(F.lit(x).alias(k) for k, x in zip(("source", "box_name", "variant"), t, strict=True))) for i, t in enumerate(every)))
-    each = files.select("file_id", "suffix", F.explode(rows).alias("r")).select("file_id", "suffix", "r.*")
+    each = files.select("file_id", "suffix", *carried, F.explode(rows).alias("r")).select("file_id", "suffix", *carried, "r.*")
     binary = F.lit(mode == "stable") | (F.col("suffix") != ".pdf") | (F.col("source") == SOURCES[0])
     kept = each.filter(((F.col("source") != SOURCES[0]) | (F.col("suffix") == ".pdf")) & ((F.col("variant") != VARIANTS[2]) | binary))
-    return kept.select("file_id", F.col("at").alias("seq"), "source", "box_name", "variant", F.concat_ws("-", F.lit("enhanced"), "source", "box_name", "variant").alias("region_name"))
+    return kept.select("file_id", *carried, F.col("at").alias("seq"), "source", "box_name", "variant", F.concat_ws("-", F.lit("enhanced"), "source", "box_name", "variant").alias("region_name"))
 
 
 def evidence_source(name: Column) -> Column:
