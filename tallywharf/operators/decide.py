@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, notes, regions, text
 from . import evidence
-from .evidence import PAGE, STRONG
+from .evidence import PAGE, STRONG, merged
 
 RESULT = "file_id {id}, status string, container_code string, source string, failure_reason string, review_note string, review_code string, ocr_text string, readings array<string>"
+#: So many files of a batch are Python objects at once; each has a hundred readings per page at most.
+AT_ONCE = 250
 
 
 def results(files: DataFrame, obs: DataFrame, mode: str = "balanced") -> DataFrame:
@@ -22,8 +24,8 @@ def results(files: DataFrame, obs: DataFrame, mode: str = "balanced") -> DataFra
     if mode == "fast":
         return sequential(files, obs, mode)
     done = settled_early(files, obs)
-    rest = files.select("file_id", "name").join(done.select("file_id"), "file_id", "left_anti")
-    return done.unionByName(sequential(rest, obs.join(rest.select("file_id"), "file_id", "left_semi"), mode))
+    rest = files.select("file_id", "name").join(merged(done.select("file_id")), "file_id", "left_anti")
+    return done.unionByName(sequential(rest, obs.join(merged(rest.select("file_id")), "file_id", "left_semi"), mode))
 
 
 def sequential(files: DataFrame, obs: DataFrame, mode: str) -> DataFrame:
@@ -32,29 +34,30 @@ def sequential(files: DataFrame, obs: DataFrame, mode: str) -> DataFrame:
 
     cols = ["page_no", "seq", "stage", "region_name", "psm", "text"] + (["error"] if "error" in obs.columns else [])
     per = obs.groupBy("file_id").agg(F.collect_list(F.struct(*cols)).alias("rows"))  # a hundred readings per page at most
-    both = files.select("file_id", "name").join(per, "file_id", "left")
+    both = files.select("file_id", "name").join(merged(per), "file_id", "left")
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for file_id, name, rows in zip(pdf["file_id"], pdf["name"], pdf["rows"], strict=True):
-                pages: dict[int, list[dict]] = {}
-                for r in rows if rows is not None else ():
-                    r = r if isinstance(r, dict) else r.asDict()
-                    psm = r["psm"]
-                    pages.setdefault(r["page_no"], []).append(r | {"psm": None if psm is None or psm != psm else int(psm)})
-                f = File(name, mode, pages)
-                try:
-                    got = f.decide()
-                except Exception as e:  # one file's failure is its result
-                    got = f.result(notes.UNRECOGNIZED, reason=f"PROCESS_FAILED: {e}")
-                out.append({"file_id": file_id} | got)
-            yield pd.DataFrame(out, columns=names)
-
-    return both.mapInPandas(run, RESULT.format(id=files.schema["file_id"].dataType.simpleString()))
+        import pyarrow as pa
+
+        for batch in batches:
+            kinds = {"file_id": batch.schema.field("file_id").type, "readings": pa.list_(pa.string())}
+            schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                out = []
+                for x in batch.slice(at, AT_ONCE).to_pylist():
+                    pages: dict[int, list[dict]] = {}
+                    for r in x["rows"] or ():
+                        pages.setdefault(r["page_no"], []).append(r)
+                    f = File(x["name"], mode, pages)
+                    try:
+                        got = f.decide()
+                    except Exception as e:  # one file's failure is its result
+                        got = f.result(notes.UNRECOGNIZED, reason=f"PROCESS_FAILED: {e}")
+                    out.append({"file_id": x["file_id"]} | got)
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return both.mapInArrow(run, RESULT.format(id=files.schema["file_id"].dataType.simpleString()))
 
 
 def page_text(keys: list[str] = PAGE):
@@ -145,7 +148,7 @@ def fast_results(files: DataFrame, obs: DataFrame) -> DataFrame:
     order = F.struct((~over).alias("x"), F.when(over, F.col("page_no")).otherwise(-F.col("page_no")))  # the first that ends the file, else the last
     page = pages.groupBy("file_id").agg(F.min_by(F.struct("j", "ocr_text", "bad", "wrong"), order).alias("p")).select("file_id", "p.*")
 
-    all_ = files.select("file_id", "name").join(page, "file_id", "left").withColumn("ocr_text", F.coalesce("ocr_text", F.lit(""))).join(filename_results(files), "file_id")
+    all_ = files.select("file_id", "name").join(merged(page), "file_id", "left").withColumn("ocr_text", F.coalesce("ocr_text", F.lit(""))).join(merged(filename_results(files)), "file_id")
     j = F.col("j")
     code, words_, wrong_ = j["code"], F.col("ocr_text"), F.coalesce("wrong", "bad")
     kind = (
@@ -177,7 +180,7 @@ def settled_early(files: DataFrame, obs: DataFrame) -> DataFrame:
     flagged = obs.select("file_id", "page_no", "seq", "stage", "region_name", "psm", "text", odd.alias("odd_row"))
     first = flagged.groupBy("file_id").agg(F.min("page_no").alias("page_no"), F.bool_or("odd_row").alias("odd")).filter(~F.col("odd")).select("file_id", "page_no")
     pdf = files.select("file_id", (text.suffix_of(F.col("name")) == ".pdf").alias("is_pdf"))
-    rows = flagged.drop("odd_row").join(first, PAGE).join(pdf, "file_id")
+    rows = flagged.drop("odd_row").join(merged(first), PAGE).join(merged(pdf), "file_id")
     pages = first_steps(rows, None, F.col("is_pdf"))
     j = F.col("j")
     good = pages.filter(j.isNotNull() & ~j["strong"] & ~more(F.col("pdf"), j))
