@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .codes import let
+
 MODES = ("fast", "balanced", "stable")
 # Named boxes as left, top, right, bottom in hundredths of the page.
 PRIORITY = [
@@ -85,6 +87,14 @@ def enhanced_names(files: DataFrame, mode: str = "balanced", *carried: str) -> D
     return kept.select("file_id", *carried, F.col("at").alias("seq"), "source", "box_name", "variant", F.concat_ws("-", F.lit("enhanced"), "source", "box_name", "variant").alias("region_name"))
 
 
+def enhanced_table(pdf: bool, mode: str = "balanced") -> list[tuple[int, str, str, str, str]]:
+    """The enhanced regions of a document or an image in order: seq, source, box_name, variant, region_name."""
+    boxes = [b[0] for b in (ENHANCED if mode == "stable" else ENHANCED[:ENHANCED_OUTSIDE_STABLE])]
+    every = enumerate((s, b, v) for s in SOURCES for b in boxes for v in VARIANTS)
+    kept = ((i, s, b, v) for i, (s, b, v) in every if (s != SOURCES[0] or pdf) and (v != VARIANTS[2] or mode == "stable" or not pdf or s == SOURCES[0]))
+    return [(i, s, b, v, f"enhanced-{s}-{b}-{v}") for i, s, b, v in kept]
+
+
 def evidence_source(name: Column) -> Column:
     out = F.lit("other")
     for s in SOURCES:
@@ -102,6 +112,26 @@ def evidence_variant(name: Column) -> Column:
     return F.when(name.rlike(r"-(plain|x2sharp|x2binary)\z"), F.regexp_extract(name, r"-(plain|x2sharp|x2binary)\z", 1)).otherwise("other")
 
 
+def evidence_parts(name: Column) -> Column:
+    """struct(source, box, variant) as the three functions above have them, without patterns: for names within arrays, where patterns cost most."""
+
+    def cut(c: Column, heads) -> Column:
+        out = c
+        for h in heads:
+            out = F.when(F.startswith(c, F.lit(h)), F.substr(c, F.lit(len(h) + 1))).otherwise(out)
+        return out
+
+    def ending(c: Column, of) -> Column:
+        out = of(None)
+        for v in VARIANTS:
+            out = F.when(F.endswith(c, F.lit(f"-{v}")), of(v)).otherwise(out)
+        return out
+
+    variant = ending(name, lambda v: F.lit(v or "other"))
+    box_of = lambda b: ending(b, lambda v: F.left(b, F.length(b) - len(v) - 1) if v else b)
+    return let(let(cut(name, ["enhanced-"]), lambda a: cut(a, [f"{s}-" for s in SOURCES])), lambda b: F.struct(evidence_source(name).alias("source"), box_of(b).alias("box"), variant.alias("variant")))
+
+
 def is_secondary(name: Column) -> Column:
     return name.rlike(r"-(x2sharp|x2binary)\z")
 
