@@ -14,13 +14,15 @@ RESULT = "file_id {id}, status string, container_code string, source string, fai
 AT_ONCE = 250
 
 
-def results(files: DataFrame, obs: DataFrame, mode: str = "balanced") -> DataFrame:
+def results(files: DataFrame, obs: DataFrame | None = None, mode: str = "balanced") -> DataFrame:
     """files: file_id, name. One row per file, also for files without observations. An error within a file becomes its result.
 
     In modes with enhancement, settled_early() gives the results of the files that need none; only the others go, one by one, through the sequential part. Its table is read twice: hand
-    over observations that are stored.
+    over observations that are stored. Files that bring their observations along as an array (`rows`, see sequential()) need no obs, and go through the sequential part in one pass.
     """
     mode = regions.mode_of(mode)
+    if obs is None:
+        return decided(files, mode)
     if mode == "fast":
         return sequential(files, obs, mode)
     done = settled_early(files, obs)
@@ -30,34 +32,48 @@ def results(files: DataFrame, obs: DataFrame, mode: str = "balanced") -> DataFra
 
 def sequential(files: DataFrame, obs: DataFrame, mode: str) -> DataFrame:
     """results() by a grouped map over files, each reading deciding on the next ones."""
-    from .reading import File
-
     cols = ["page_no", "seq", "stage", "region_name", "psm", "text"] + (["error"] if "error" in obs.columns else [])
     per = obs.groupBy("file_id").agg(F.collect_list(F.struct(*cols)).alias("rows"))  # a hundred readings per page at most
-    both = files.select("file_id", "name").join(merged(per), "file_id", "left")
+    return decided(files.select("file_id", "name").join(merged(per), "file_id", "left"), mode)
+
+
+def decided(files: DataFrame, mode: str) -> DataFrame:
+    """files: file_id, name, rows (array of struct(page_no, seq, stage, region_name, psm, text), maybe error; or null). One row per file."""
+    from .reading import File
+
     names = [c.split()[0] for c in RESULT.split(", ")]
 
+    def values(column):
+        """A column as a list; equal values are one object."""
+        d = column.dictionary_encode()
+        held = [*d.dictionary.to_pylist(), None]
+        return [held[i] for i in d.indices.fill_null(len(held) - 1).to_pylist()]
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             kinds = {"file_id": batch.schema.field("file_id").type, "readings": pa.list_(pa.string())}
             schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
+            fields = [f.name for f in batch.schema.field("rows").type.value_type]
+            page = fields.index("page_no")
             for at in range(0, batch.num_rows, AT_ONCE):
-                out = []
-                for x in batch.slice(at, AT_ONCE).to_pylist():
+                part, out, low = batch.slice(at, AT_ONCE), [], 0
+                flat = list(zip(*(values(c) for c in part.column("rows").flatten().flatten()), strict=True))
+                for id_, name, n in zip(part.column("file_id").to_pylist(), part.column("name").to_pylist(), part.column("rows").value_lengths().to_pylist(), strict=True):
                     pages: dict[int, list[dict]] = {}
-                    for r in x["rows"] or ():
-                        pages.setdefault(r["page_no"], []).append(r)
-                    f = File(x["name"], mode, pages)
+                    for r in flat[low : low + (n or 0)]:
+                        pages.setdefault(r[page], []).append(dict(zip(fields, r)))  # noqa: B905
+                    low += n or 0
+                    f = File(name, mode, pages)
                     try:
                         got = f.decide()
                     except Exception as e:  # one file's failure is its result
                         got = f.result(notes.UNRECOGNIZED, reason=f"PROCESS_FAILED: {e}")
-                    out.append({"file_id": x["file_id"]} | got)
+                    out.append({"file_id": id_} | got)
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return both.mapInArrow(run, RESULT.format(id=files.schema["file_id"].dataType.simpleString()))
+    return files.select("file_id", "name", "rows").mapInArrow(run, RESULT.format(id=files.schema["file_id"].dataType.simpleString()))
 
 
 def page_text(keys: list[str] = PAGE):

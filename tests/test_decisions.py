@@ -87,3 +87,20 @@ def test_native_fast_results_equal_the_sequential_ones(spark):
     cols = ["file_id", "status", "container_code", "source", "failure_reason", "review_note", "review_code", F.sha2("ocr_text", 256).alias("words")]
     a, b = decide.fast_results(files, o).select(cols), decide.results(files, o, "fast").select(cols)
     assert a.exceptAll(b).count() == 0 and a.count() == files.count() == b.count()
+
+
+def test_files_with_their_readings_need_no_join(spark):
+    """The queries decide all files in one pass; before, their observations were made twice and met the files again and again."""
+    from pyspark.sql import functions as F
+
+    from tallywharf.plans import fixtures as fx
+    from tallywharf.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    o = fx.observations(spark, d).unionByName(fx.enhanced_observations(spark, d)).cache()
+    files = fx.files(spark, d).withColumnRenamed("original_name", "name")
+    for mode in ("balanced", "stable"):
+        got = registry.QUERIES[f"D1_D10_{mode}_results"](spark, d)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        want = decide.results(files, o, mode).withColumn("readings", F.size("readings")).select(got.columns)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count() == files.count()
